@@ -12,7 +12,9 @@ ROWS coordinates make a band. Documents that share a band are compared with the
 band's leader by exact set similarity, so a band of n documents costs n comparisons.
 Where a band still holds more than one class, its members are compared with a second
 leader, then across the classes that remain; wide bands are first split by a second
-shared band. Links pass through connected components.
+shared band, and pairs whose sketches (four bits of each coordinate) differ by
+DEVIATIONS standard deviations more than the similarity allows aren't compared.
+Links pass through connected components.
 
 Weights are 1 by default, since the contract's similarity is that of shingle sets
 (then repeats change nothing); weights='count' signs the multiset instead.
@@ -38,6 +40,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 48, 7
 #: Bands with more members are split by a second shared band before the comparison across classes.
 WIDE = 64
+#: A pair exactly at the threshold is left out once in 4,000 such pairs.
+DEVIATIONS = 3.5
 
 _CELL, _DART, _STEP = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F)
 _POISSON = np.array([int(min(1.0, p) * (2**32 - 1)) for p in np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, i + 1), initial=1.0) for i in range(14)])], U64)
@@ -112,22 +116,41 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys
 
 
+def sketches(signature: np.ndarray) -> np.ndarray:
+    """(n, 4 * words): the lowest four bits of every coordinate, as four bit planes."""
+    n, k = signature.shape
+    planes = np.zeros((n, 4, -(-k // 64) * 64), np.uint8)
+    planes[:, :, :k] = signature[:, None, :] >> np.arange(4, dtype=U64)[None, :, None] & U64(1)
+    return np.packbits(planes.reshape(n, -1), axis=1).view(np.int64)
+
+
+def alike(x: str, y: str, k: int, least: float) -> F.Column:
+    """Whether two sketches differ in no more coordinates than the similarity allows."""
+    odds, words = (1 - least) * 15 / 16, -(-k // 64)
+    most = k * odds + DEVIATIONS * (k * odds * (1 - odds)) ** 0.5
+    word = lambda i: " | ".join(f"({x}[{p * words + i}] ^ {y}[{p * words + i}])" for p in range(4))
+    return F.expr(" + ".join(f"bit_count({word(i)})" for i in range(words))) <= int(most)
+
+
 def signed(docs: DataFrame, bands: int, rows: int, weights: str = "set") -> DataFrame:
-    """doc_id, copy (a digest of the text) and bands (null for texts without words)."""
+    """doc_id, copy (a digest of the text), bands (null for texts without words), sketch."""
 
     def scan(batches):
         for batch in batches:
-            keys = []
+            keys, bits = [], []
             for i, j, data, offsets in row_chunks(batch.column(2), max_rows=128):
                 own, found = shingles(data, offsets)
                 own, found, weight = weighted(own, found) if weights == "count" else (own, found, np.ones(len(own)))
-                bands_of = band_keys(throw(own, found, weight, j - i, bands * rows), bands, rows).view(np.int64)
+                signature = throw(own, found, weight, j - i, bands * rows)
+                bands_of = band_keys(signature, bands, rows).view(np.int64)
+                bits += list(sketches(signature))
                 full = np.bincount(own, minlength=j - i) > 0
                 keys += [row if ok else None for row, ok in zip(bands_of, full, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "copy", "bands"])
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, longs), pa.array(bits, longs)], ["doc_id", "copy", "bands", "sketch"])
 
     texts = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("copy"), "text")
-    return texts.mapInArrow(scan, "doc_id long, copy string, bands array<long>")
+    return texts.mapInArrow(scan, "doc_id long, copy string, bands array<long>, sketch array<long>")
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, least: float, weights: str = "set") -> DataFrame:
@@ -175,7 +198,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BAN
     """doc_id, class_id (the least doc_id of its class) and class_size for each document."""
     every = materialise(signed(docs, bands, rows, weights), "signatures")
     copies = every.where("bands IS NOT NULL AND doc_id IS NOT NULL").groupBy("copy").agg(F.min("doc_id").alias("node"))
-    nodes = every.where("bands IS NOT NULL").join(copies, "copy").where("doc_id = node").select("node", "bands").dropDuplicates(["node"])
+    nodes = every.where("bands IS NOT NULL").join(copies, "copy").where("doc_id = node").select("node", "bands", "sketch").dropDuplicates(["node"])
     banded = nodes.select("node", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     members = materialise(banded.join(shared, "key"), "bands")
@@ -196,8 +219,9 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BAN
     broad = mixed.where(F.col("n") > wide).select("key", "node", "class")
     also = members.select("node", F.col("key").alias("other"))
     refined = broad.join(also, "node").where("key < other").select(F.xxhash64("key", "other").alias("key"), "node", "class")
-    bins = narrow.union(refined)
-    across = _pairs("x", "y", bins.select("key", F.col("node").alias("x"), F.col("class").alias("cx")).join(bins.select("key", F.col("node").alias("y"), F.col("class").alias("cy")), "key").where("cx < cy"))
+    bins = narrow.union(refined).join(nodes.select("node", "sketch"), "node")
+    x, y = (bins.select("key", F.col("node").alias(n), F.col("class").alias(f"c{n}"), F.col("sketch").alias(f"s{n}")) for n in "xy")
+    across = _pairs("x", "y", x.join(y, "key").where(F.col("cx") < F.col("cy")).where(alike("sx", "sy", bands * rows, least)))
     rest = materialise(across.join(first.union(second), ["a", "b"], "left_anti"), "pairs")
     links = materialise(links.union(similar_pairs(rest, texts, least, weights)), "links")
 
