@@ -77,7 +77,8 @@ def minimisers(rows: np.ndarray, words: np.ndarray, k: int = KGRAM, w: int = WIN
 
 
 def selected(docs: DataFrame) -> DataFrame:
-    """(doc, gram, at) for every minimiser."""
+    """(doc, gram, places): a document's minimisers by k-gram, so that a line which it
+    repeats a thousand times is one row."""
 
     def scan(batches):
         for batch in batches:
@@ -86,13 +87,18 @@ def selected(docs: DataFrame) -> DataFrame:
                 rows, words = hashed_words(data, offsets, ALNUM)
                 at, grams = minimisers(rows, words)
                 first = np.searchsorted(rows, np.arange(j - i))
+                order = np.lexsort((grams, rows[at]))
+                at, grams = at[order], grams[order]
                 own = rows[at]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][own]), pa.array(grams.view(np.int64)), pa.array((at - first[own]).astype(np.int32))], ["doc", "gram", "at"])
+                new = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (grams[1:] != grams[:-1]))) if len(at) else np.zeros(0, np.int64)
+                places = pa.ListArray.from_arrays(pa.array(np.append(new, len(at)).astype(np.int32)), pa.array((at - first[own]).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][own[new]]), pa.array(grams[new].view(np.int64)), places], ["doc", "gram", "places"])
 
-    return docs.select("doc", "text").mapInArrow(scan, "doc long, gram long, at int")
+    return docs.select("doc", "text").mapInArrow(scan, "doc long, gram long, places array<int>")
 
 
-SUFFIX = "gram long, right binary, left binary, doc long, at int"
+#: at: the places in the document that share all of the rest.
+SUFFIX = "gram long, right binary, left binary, doc long, at array<int>"
 SIDE = (LEAST - KGRAM) * 4
 
 
@@ -115,9 +121,13 @@ def suffixes(docs: DataFrame) -> DataFrame:
                 at = at[at + KGRAM <= len(words)]
                 grams = kgram_hashes(words, KGRAM)[at].view(np.int64)
                 short = (words >> U64(32)).astype(">u4")
-                sides = [_context(short, a, len(words)) for a in at.tolist()]
+                found: dict = {}
+                for a, gram in zip(at.tolist(), grams.tolist(), strict=True):
+                    found.setdefault((gram, *_context(short, a, len(words))), []).append(a)
+                columns = list(zip(*found, strict=True)) or [()] * 3
+                kinds = (pa.int64(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(grams), pa.array([s[0] for s in sides], pa.binary()), pa.array([s[1] for s in sides], pa.binary()), pa.array([ids[i]] * len(at), pa.int64()), pa.array(at.astype(np.int32))],
+                    [*[pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], pa.array([ids[i]] * len(found), pa.int64()), pa.array(list(found.values()), pa.list_(pa.int32()))],
                     ["gram", "right", "left", "doc", "at"],
                 )
 
@@ -134,7 +144,13 @@ class Suffixes:
     def read(cls, batch: pa.RecordBatch) -> Suffixes:
         col = lambda k: batch.column(batch.schema.get_field_index(k))
         side = lambda k: np.frombuffer(b"".join(x.ljust(SIDE + 4, b"\0") for x in col(k).to_pylist()), np.uint32).reshape(-1, SIDE // 4 + 1).copy()
-        return cls(col("gram").to_numpy(), cls._ended(side("right"), col("right")), cls._ended(side("left"), col("left")), col("doc").to_numpy(), col("at").to_numpy().astype(np.int64))
+        return cls(col("gram").to_numpy(), cls._ended(side("right"), col("right")), cls._ended(side("left"), col("left")), col("doc").to_numpy(), cls._lists(col("at").to_pylist()))
+
+    @staticmethod
+    def _lists(values: list) -> np.ndarray:
+        out = np.empty(len(values), object)
+        out[:] = values
+        return out
 
     @staticmethod
     def _ended(words: np.ndarray, col: pa.Array) -> np.ndarray:
@@ -167,8 +183,8 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def matches(s: Suffixes, fresh: int = 0) -> tuple[np.ndarray, ...]:
-    """(doc, start, end, other) of repeats between near rows of different documents;
-    of each pair, one row at least has index ``fresh`` or more."""
+    """(doc, start, end, other) of each row's repeats with near rows of different
+    documents; of each pair, one row at least has index ``fresh`` or more."""
     n, first = len(s.doc), s.runs()
     run = np.searchsorted(first, np.arange(n), side="right") - 1
     out = []
@@ -181,17 +197,36 @@ def matches(s: Suffixes, fresh: int = 0) -> tuple[np.ndarray, ...]:
             right, left = _common(s.right[i], s.right[j]), _common(s.left[i], s.left[j])
             long = KGRAM + right + left >= LEAST
             i, j, right, left = i[long], j[long], right[long], left[long]
-            for x, y in ((i, j), (j, i)):
-                out.append((s.doc[x], s.at[x] - left, s.at[x] + KGRAM + right, s.doc[y]))
-    columns = [np.concatenate(c) for c in zip(*out, strict=True)]
-    if not len(columns[0]):
-        return tuple(columns)
-    keys = np.unique(np.stack(columns), axis=1)
-    return tuple(keys)
+            out.append((i, left, right, s.doc[j]))
+    x, left, right, other = (np.concatenate(c) for c in zip(*out, strict=True))
+    _, once = np.unique((x * LEAST + left) * LEAST + right, return_index=True)  # one partner for each extent
+    x, left, right, other = x[once], left[once], right[once], other[once]
+    row, start, size = [], [], []
+    for n, (places, back, width) in enumerate(zip(s.at[x], left.tolist(), (KGRAM + left + right).tolist(), strict=True)):
+        for a, b in _joined(places, width):
+            row.append(n)
+            start.append(a - back)
+            size.append(b - a)
+    row, start, size = (np.array(c, np.int64) for c in (row, start, size))
+    return s.doc[x[row]], start, start + size, other[row]
+
+
+def _joined(places: list[int], width: int):
+    """Spans of ``width`` at sorted places, those that touch joined."""
+    begin = end = None
+    for at in places:
+        if end is not None and at <= end:
+            end = at + width
+            continue
+        if end is not None:
+            yield begin, end
+        begin, end = at, at + width
+    if end is not None:
+        yield begin, end
 
 
-FOUND = "part int, head boolean, turn int, gram long, right binary, left binary, doc long, at int, start long, end long, other long"
-_TYPES = [pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+FOUND = "part int, head boolean, turn int, gram long, right binary, left binary, doc long, at array<int>, start long, end long, other long"
+_TYPES = [pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64()]
 _NAMES = [c.split()[0] for c in FOUND.split(", ")]
 
 
@@ -206,7 +241,7 @@ def _match_rows(found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
 def _edge_rows(s: Suffixes, part: int, head: bool) -> pa.RecordBatch:
     n = len(s.doc)
     side = lambda x: [row[: row[-1]].tobytes() for row in x]
-    return _rows(n, part=[part] * n, head=[head] * n, turn=list(range(n)), gram=s.gram, right=side(s.right), left=side(s.left), doc=s.doc, at=s.at.astype(np.int32))
+    return _rows(n, part=[part] * n, head=[head] * n, turn=list(range(n)), gram=s.gram, right=side(s.right), left=side(s.left), doc=s.doc, at=s.at.tolist())
 
 
 def _compared(batches):
@@ -230,7 +265,7 @@ def _compared(batches):
 def _across(rows):
     """Repeats between the end of one range and the beginning of the next."""
     rows = rows.sort_values(["head", "turn"])
-    batch = pa.RecordBatch.from_pandas(rows[["gram", "right", "left", "doc", "at"]], schema=pa.schema([("gram", pa.int64()), ("right", pa.binary()), ("left", pa.binary()), ("doc", pa.int64()), ("at", pa.int32())]), preserve_index=False)
+    batch = pa.RecordBatch.from_pandas(rows[["gram", "right", "left", "doc", "at"]], schema=pa.schema([("gram", pa.int64()), ("right", pa.binary()), ("left", pa.binary()), ("doc", pa.int64()), ("at", pa.list_(pa.int32()))]), preserve_index=False)
     return _match_rows(matches(Suffixes.read(batch))).select(["doc", "start", "end", "other"]).to_pandas()
 
 
@@ -240,7 +275,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), "text")
     grams = materialise(selected(docs), "minimisers")
     shared = grams.groupBy("gram").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high").select("gram")
-    places = grams.join(shared, "gram").groupBy("doc").agg(F.collect_set("at").alias("places"))
+    places = grams.join(shared, "gram").groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
     sparse = materialise(suffixes(docs.join(places, "doc")), "suffixes")
     remove(grams)
     count = sparse.count()
