@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, local_file, shared_path
 
-FILE_ROWS = 1 << 21
+FILE_ROWS = 1 << 20
 
 
 def _place(keys: np.ndarray, files: int) -> np.ndarray:

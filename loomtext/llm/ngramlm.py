@@ -32,7 +32,7 @@ BEGIN, END = U64(0x0B5E55ED0B5E55ED), U64(0x00E9D00000E9D000)
 #: Bigrams of this count or more are stored.
 KEEP = 2
 #: Tokens for each bucket, and tokens that a task holds before it sends them on.
-BUCKET_TOKENS, FLUSH = 2_000_000, 2_500_000
+BUCKET_TOKENS, FLUSH = 1_000_000, 1_000_000
 _PAIR = U64(0x9FB21C651E98DF25)
 
 
