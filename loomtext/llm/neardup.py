@@ -39,7 +39,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 48, 7
 #: Bands with more members are split by a second shared band before the comparison across classes.
-WIDE = 64
+WIDE = 1024
 #: A pair exactly at the threshold is left out once in 4,000 such pairs.
 DEVIATIONS = 3.5
 
@@ -194,6 +194,14 @@ def _mixed(members: DataFrame, links: DataFrame) -> DataFrame:
     return named.join(several.where("low <> high").select("key", "second", "n"), "key")
 
 
+def _across(bins: DataFrame, nodes: DataFrame, k: int, least: float, once: str) -> DataFrame:
+    """Pairs of different classes in a bin whose sketches are alike; ``once`` keeps a
+    pair in the first band that it shares."""
+    full = bins.join(nodes, "node")
+    x, y = (full.select("key", F.col("node").alias(n), F.col("class").alias(f"c{n}"), F.col("sketch").alias(f"s{n}"), F.col("bands").alias(f"b{n}")) for n in "xy")
+    return _pairs("x", "y", x.join(y, "key").where(F.col("cx") < F.col("cy")).where(alike("sx", "sy", k, least)).where(once))
+
+
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weights: str = "set", wide: int = WIDE) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class) and class_size for each document."""
     every = materialise(signed(docs, bands, rows, weights), "signatures")
@@ -219,9 +227,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BAN
     broad = mixed.where(F.col("n") > wide).select("key", "node", "class")
     also = members.select("node", F.col("key").alias("other"))
     refined = broad.join(also, "node").where("key < other").select(F.xxhash64("key", "other").alias("key"), "node", "class")
-    bins = narrow.union(refined).join(nodes.select("node", "sketch"), "node")
-    x, y = (bins.select("key", F.col("node").alias(n), F.col("class").alias(f"c{n}"), F.col("sketch").alias(f"s{n}")) for n in "xy")
-    across = _pairs("x", "y", x.join(y, "key").where(F.col("cx") < F.col("cy")).where(alike("sx", "sy", bands * rows, least)))
+    across = _across(narrow, nodes, bands * rows, least, "element_at(filter(bx, (v, i) -> v = by[i]), 1) = key").union(_across(refined, nodes, bands * rows, least, "true")).distinct()
     rest = materialise(across.join(first.union(second), ["a", "b"], "left_anti"), "pairs")
     links = materialise(links.union(similar_pairs(rest, texts, least, weights)), "links")
 
