@@ -45,7 +45,7 @@ def passages(data: np.ndarray, offsets: np.ndarray, size: int = PASSAGE) -> tupl
     step = -(-(ends - starts) // pieces)
     inner = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     starts = np.repeat(starts, pieces) + inner * np.repeat(step, pieces)
-    starts = starts[starts < max(len(data), 1)]
+    starts = starts[starts < len(data)]
     rows = np.searchsorted(offsets, starts, side="right") - 1
     bare = np.setdiff1d(np.arange(len(offsets) - 1), rows)  # rows without bytes
     order = np.argsort(np.concatenate([rows, bare]), kind="stable")
@@ -72,7 +72,7 @@ def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
         words = np.bincount(w_own, minlength=n)
         hashes = word_hashes(data, w_start, w_end)
         order = np.lexsort((hashes, w_own))
-        again = np.append(False, (hashes[order][1:] == hashes[order][:-1]) & (w_own[order][1:] == w_own[order][:-1]))
+        again = np.append(False, (hashes[order][1:] == hashes[order][:-1]) & (w_own[order][1:] == w_own[order][:-1]))[: len(order)]
         total = np.zeros(n, U64)
         np.add.at(total, w_own, hashes)
         order_p = np.lexsort((total, rows))
