@@ -1,0 +1,24 @@
+"""Supervised attitude: balanced multinomial logistic regression over term counts."""
+
+from __future__ import annotations
+
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import HashingTF
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .topics import tokenised
+
+
+def logistic_scores(docs: DataFrame, labels: DataFrame, label: str, c: float = 1.0, features: int = 1 << 14) -> DataFrame:
+    """doc_id, p (probability of 1) and polarity p(1) - p(0), classes weighted evenly."""
+    rows = HashingTF(inputCol="tokens", outputCol="features", numFeatures=features).transform(tokenised(docs))
+    known = rows.join(labels.select("doc_id", F.col(label).cast("double").alias("label")).where(F.col(label).isNotNull()), "doc_id")
+    sizes = known.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    total = sizes.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("classes"))
+    even = known.join(F.broadcast(sizes), "label").crossJoin(F.broadcast(total)).withColumn("w", F.col("total") / (F.col("classes") * F.col("n")))
+    weight = even.agg(F.sum("w")).first()[0]
+    model = LogisticRegression(weightCol="w", regParam=1 / (c * weight), standardization=False, maxIter=50, family="multinomial").fit(even)
+    p = vector_to_array("probability")
+    return model.transform(rows).select("doc_id", p[1].alias("p"), (p[1] - p[0]).alias("polarity"))

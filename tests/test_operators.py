@@ -1,0 +1,45 @@
+"""Operators outside the plan catalogue: oracles on the smallest tables and fixtures."""
+
+import itertools
+import random
+
+import duckdb
+import pytest
+
+from loomtext.functions import text
+from loomtext.operators.topics import best_assignment
+from loomtext.queries import ORACLES, QUERIES
+from loomtext.sources import storage
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query(spark, name):
+    df = QUERIES[name](spark, SF)
+    rows = df.collect()
+    assert rows
+    if name in ORACLES:
+        con = duckdb.connect()
+        for t in ("documents", "labels", "events"):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+        assert sorted(map(tuple, rows)) == sorted(con.execute(f"SELECT {', '.join(df.columns)} FROM ({ORACLES[name]}) q").fetchall())
+
+
+def test_assignment_is_the_best():
+    rng = random.Random(1)
+    for _ in range(20):
+        cost = [[rng.random() for _ in range(5)] for _ in range(4)]
+        least = min(sum(cost[i][c] for i, c in enumerate(p)) for p in itertools.permutations(range(5), 4))
+        assert abs(sum(cost[i][c] for i, c in enumerate(best_assignment(cost))) - least) < 1e-12
+
+
+def test_encodings():
+    assert storage.detect_encoding("Überschrift".encode()) == "utf-8"
+    assert storage.detect_encoding("婚姻登记".encode("gb18030")) == "gb18030"
+
+
+def test_pages_lose_their_markup(spark):
+    page = "<html><SCRIPT>var a = '<b>';</script><p>Fish &amp; chips</p></html>"
+    df = spark.createDataFrame([(page,)], "html string")
+    assert df.select(text.plain_text(df.html).alias("t")).first().t == text.visible_text(page) == "Fish & chips"
