@@ -12,9 +12,6 @@ from .operators import models, sampling, topics
 from .sources import storage
 from .streaming import events
 
-YEAR = (F.lit(2021) + F.col("doc_id") % 5).alias("year")
-
-
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -27,7 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_csv_roundtrip": storage.csv_roundtrip,
     "html_unescape": lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", text.plain_text(F.col("html")).alias("body")),
     "tokenize_phrases": lambda s, d: _docs(s, d).select("doc_id", F.size(text.tokenize_phrases(F.col("text"), ["mit license", "the and"])).alias("n")),
-    "stratified_sample": lambda s, d: sampling.stratified_sample(_docs(s, d).select("doc_id", YEAR), "doc_id", "year", 10),
+    "stratified_sample": lambda s, d: sampling.stratified_sample(_docs(s, d).selectExpr("doc_id", "2021 + doc_id % 5 AS year"), "doc_id", "year", 10),
     "stratified_split": lambda s, d: sampling.stratified_split(s.read.parquet(f"{d}/labels.parquet"), "doc_id", "toxic").select("doc_id", "part"),
     "kfold_assign": lambda s, d: sampling.kfold(s.read.parquet(f"{d}/labels.parquet"), "doc_id", "toxic").select("doc_id", "fold"),
     "topic_word_weights": lambda s, d: topics.topic_words(*_lda(s, d)[:2]),
