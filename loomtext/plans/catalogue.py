@@ -307,7 +307,7 @@ def _(d):
 @plan("vocab_full_outer")
 def _(d):
     side = lambda c: f"(SELECT w, count(*) AS n FROM {d.words(c)} GROUP BY w)"
-    return f"SELECT coalesce(a.w, b.w) AS word, coalesce(a.n, 0) AS n_a, coalesce(b.n, 0) AS n_b FROM {side(chr(108) + 'ang = ' + repr('en'))} a FULL OUTER JOIN {side('lang <> ' + repr('en'))} b ON a.w = b.w"
+    return f"SELECT coalesce(a.w, b.w) AS word, coalesce(a.n, 0) AS n_a, coalesce(b.n, 0) AS n_b FROM {side('lang = ' + repr('en'))} a FULL OUTER JOIN {side('lang <> ' + repr('en'))} b ON a.w = b.w"
 
 
 @plan("semi_join_vocab")
@@ -379,9 +379,9 @@ def _(d):
 
 @plan("jaccard")
 def _(d):
-    return f"""WITH u AS (SELECT DISTINCT lang, source FROM {d.t('documents')} WHERE doc_id % 7 < 5)
+    return f"""WITH u AS (SELECT DISTINCT lang, source FROM {d.t('documents')})
     SELECT a.lang AS x, b.lang AS y, CAST(sum(CASE WHEN a.source = b.source THEN 1 ELSE 0 END) AS DOUBLE) / (max(na.n) + max(nb.n) - sum(CASE WHEN a.source = b.source THEN 1 ELSE 0 END)) AS jaccard
-    FROM u a JOIN u b ON a.lang < b.lang JOIN (SELECT lang, count(*) AS n FROM u GROUP BY lang) na ON na.lang = a.lang JOIN (SELECT lang, count(*) AS n FROM u GROUP BY lang) nb ON nb.lang = b.lang GROUP BY a.lang, b.lang""".replace(" WHERE doc_id % 7 < 5", "")
+    FROM u a JOIN u b ON a.lang < b.lang JOIN (SELECT lang, count(*) AS n FROM u GROUP BY lang) na ON na.lang = a.lang JOIN (SELECT lang, count(*) AS n FROM u GROUP BY lang) nb ON nb.lang = b.lang GROUP BY a.lang, b.lang"""
 
 
 @plan("lexicon_theta_join")
