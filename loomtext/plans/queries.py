@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import more  # noqa: F401  its plans join the catalogue
+from . import more, spans  # noqa: F401  their plans join the catalogue
 from .catalogue import PLANS
 from .dialect import TABLES, Portable, Spark
 

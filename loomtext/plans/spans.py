@@ -1,0 +1,64 @@
+"""Plans over term positions, dates in several spellings and window coherence."""
+
+from __future__ import annotations
+
+from .catalogue import PLANS, plan
+
+
+def _spans(d, term: str) -> str:
+    places = f"(SELECT doc_id, text, {d.each(d.spread('1', 'length(text)'))} AS i FROM {d.t('documents')} WHERE instr(text, '{term}') > 0)"
+    return f"SELECT doc_id, CAST(i - 1 AS BIGINT) AS span_start, CAST(i - 1 + {len(term)} AS BIGINT) AS span_end FROM {places} x WHERE substring(text, i, {len(term)}) = '{term}'"
+
+
+@plan("term_spans")
+def _(d):
+    return _spans(d, "License")
+
+
+@plan("min_span_gap")
+def _(d):
+    return f"""SELECT a.doc_id, min(greatest(0, greatest(a.span_start, b.span_start) - least(a.span_end, b.span_end))) AS gap
+    FROM ({_spans(d, 'License')}) a JOIN ({_spans(d, 'under')}) b ON a.doc_id = b.doc_id GROUP BY a.doc_id"""
+
+
+@plan("relevance_post")
+def _(d):
+    return f"""SELECT d.doc_id, g.gap, CASE WHEN g.gap <= 20 THEN 'A near' WHEN instr(text, 'License') > 0 AND instr(text, 'GNU') > 0 THEN 'B named'
+    WHEN g.gap IS NOT NULL THEN 'borderline' WHEN instr(text, 'License') > 0 THEN 'C term alone' ELSE 'none' END AS relevance_rule
+    FROM {d.t('documents')} d LEFT JOIN ({PLANS['min_span_gap'](d)}) g ON d.doc_id = g.doc_id"""
+
+
+@plan("parse_ts")
+def _(d):
+    return f"SELECT event_id, CAST(TRY_CAST(substring(CAST(ts AS STRING), 1, 10) AS DATE) AS STRING) AS day, TRY_CAST(event_type AS DATE) IS NULL AS bad FROM {d.t('events')}"
+
+
+@plan("parse_date_multi")
+def _(d):
+    raw = "CASE page_id % 4 WHEN 0 THEN '2024/01/0' || (page_id % 9 + 1) WHEN 1 THEN '2024.02.1' || (page_id % 9) WHEN 2 THEN '2024年03月1' || (page_id % 9) || '日' ELSE '2024-13-01' END"
+    return f"SELECT page_id, CAST(TRY_CAST({d.sub(d.sub('raw', '[/.年月]', '-'), '日', '')} AS DATE) AS STRING) AS day FROM (SELECT page_id, {raw} AS raw FROM {d.t('pages')}) x"
+
+
+@plan("year_bounds")
+def _(d):
+    days = (lambda y: f"datediff(DATE '{y}-01-01', DATE '1970-01-01')") if type(d).__name__ == "Spark" else (lambda y: f"date_diff('day', DATE '1970-01-01', DATE '{y}-01-01')")
+    return " UNION ALL ".join(f"SELECT {y} AS year, CAST({days(y)} AS BIGINT) * 86400000 AS first_ms, CAST({days(y + 1)} AS BIGINT) * 86400000 - 1 AS last_ms" for y in range(2021, 2026))
+
+
+@plan("extract_article")
+def _(d):
+    return f"SELECT page_id, {d.first('html', '<title>([^<]*)</title>', 1)} AS title, {d.size(d.all_of('html', '<p[ >]'))} AS paragraphs FROM {d.t('pages')}"
+
+
+@plan("coherence_cv")
+def _(d):
+    n = d.size("t")
+    top = f"(SELECT w AS k FROM {d.words()} t GROUP BY w ORDER BY count(*) DESC, w LIMIT 8)"
+    windows = f"(SELECT doc_id, t, {d.each(d.spread('1', f'greatest(1, {n} - 109)'))} AS i FROM (SELECT doc_id, {d.letters()} AS t FROM {d.t('documents')}) x)"
+    return f"""WITH o AS (SELECT doc_id, i, w FROM (SELECT doc_id, i, {d.each(d.unique(d.part('t', 'i', '110')))} AS w FROM {windows} a) b JOIN {top} k ON b.w = k.k),
+    n AS (SELECT CAST(sum(greatest(1, {n} - 109)) AS DOUBLE) AS n FROM (SELECT {d.letters()} AS t FROM {d.t('documents')}) y),
+    c AS (SELECT w, count(*) / max(n.n) AS p FROM o CROSS JOIN n GROUP BY w),
+    q AS (SELECT a.w AS x, b.w AS y, count(*) / max(n.n) AS p FROM o a JOIN o b ON a.doc_id = b.doc_id AND a.i = b.i CROSS JOIN n GROUP BY a.w, b.w),
+    m AS (SELECT a.w AS x, b.w AS y, ln((coalesce(q.p, 0) + 1e-12) / (a.p * b.p)) / -ln(coalesce(q.p, 0) + 1e-12) AS v FROM c a CROSS JOIN c b LEFT JOIN q ON q.x = a.w AND q.y = b.w),
+    s AS (SELECT y, sum(v) AS s FROM m GROUP BY y)
+    SELECT avg(cosine) AS c_v FROM (SELECT x, sum(v * s) / (sqrt(sum(v * v)) * sqrt(sum(s * s))) AS cosine FROM m JOIN s ON m.y = s.y GROUP BY x) z"""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import text
 from .operators import models, sampling, topics
+from .plans.queries import run_plan
 from .sources import storage
 from .streaming import events
 
@@ -20,6 +21,20 @@ def _lda(spark: SparkSession, sf_dir: str) -> tuple:
     return topics.fit_topics(_docs(spark, sf_dir))
 
 
+def _perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, model, rows = _lda(spark, sf_dir)
+    return spark.createDataFrame([(float(model.logPerplexity(rows)),)], "log_perplexity double")
+
+
+def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels 0 to 4 matched one to one with 5 to 9 by the cosine of their centroids."""
+    pairs = run_plan(spark, sf_dir, "topic_cosine").where("x < 5 AND y >= 5").collect()  # 25 at most
+    rows, columns = sorted({r.x for r in pairs}), sorted({r.y for r in pairs})
+    cosine = {(r.x, r.y): r.cosine for r in pairs}
+    best = topics.best_assignment([[-cosine[x, y] for y in columns] for x in rows])
+    return spark.createDataFrame([(int(x), int(columns[c]), float(cosine[x, columns[c]])) for x, c in zip(rows, best, strict=True)], "x long, y long, cosine double")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_csv_roundtrip": storage.csv_roundtrip,
     "html_unescape": lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", text.plain_text(F.col("html")).alias("body")),
@@ -29,6 +44,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kfold_assign": lambda s, d: sampling.kfold(s.read.parquet(f"{d}/labels.parquet"), "doc_id", "toxic").select("doc_id", "fold"),
     "topic_word_weights": lambda s, d: topics.topic_words(*_lda(s, d)[:2]),
     "topic_prevalence": lambda s, d: topics.topic_prevalence(*_lda(s, d)[1:]),
+    "lda_fit": lambda s, d: topics.topic_words(*_lda(s, d)[:2], n=20),
+    "lda_fit_batch": lambda s, d: topics.topic_words(*topics.fit_topics(_docs(s, d), optimizer="em", passes=10)[:2]),
+    "lda_perplexity": _perplexity,
+    "hungarian_match": _matched,
+    "length_batches": lambda s, d: _docs(s, d).select("doc_id", "n_chars").repartition("doc_id").sortWithinPartitions("n_chars"),
+    "scan_with_lineage": lambda s, d: _docs(s, d).select("doc_id", F.regexp_extract(F.input_file_name(), "[^/]+$", 0).alias("source_file")),
+    "summary_struct": lambda s, d: _docs(s, d).agg(F.to_json(F.struct(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))).alias("summary")),
+    "stream_clean": lambda s, d: events.drained(events.event_stream(s, d).where("value >= 20").select("event_id", "event_type")),
     "logreg_scores": lambda s, d: models.logistic_scores(_docs(s, d), s.read.parquet(f"{d}/labels.parquet"), "toxic"),
     "stream_dedup": lambda s, d: events.drained(events.first_seen(events.event_stream(s, d), ["user_id", "event_type"])),
     "stream_prefix_earliest": lambda s, d: events.drained(events.earlier_records(events.event_stream(s, d))),
@@ -41,6 +64,7 @@ ORACLES = {
     "stratified_sample": "SELECT doc_id, year FROM (SELECT doc_id, 2021 + doc_id % 5 AS year, row_number() OVER (PARTITION BY doc_id % 5 ORDER BY md5('42' || doc_id::VARCHAR), doc_id) AS r FROM documents) WHERE r <= 10",
     "stratified_split": "SELECT doc_id, CASE WHEN row_number() OVER (PARTITION BY toxic ORDER BY md5('42' || doc_id::VARCHAR), doc_id) <= floor(count(*) OVER (PARTITION BY toxic) * 0.2::DOUBLE + 0.5) THEN 'validation' ELSE 'train' END AS part FROM labels",
     "kfold_assign": "SELECT doc_id, (row_number() OVER (PARTITION BY toxic ORDER BY md5('42' || doc_id::VARCHAR), doc_id) % 5)::BIGINT AS fold FROM labels",
+    "stream_clean": "SELECT event_id, event_type FROM events WHERE value >= 20",
     "stream_dedup": "SELECT DISTINCT user_id, event_type FROM events",
     "stream_prefix_earliest": f"SELECT event_id FROM (SELECT event_id, ts, min(ts) OVER (PARTITION BY user_id ORDER BY {_ARRIVAL} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low FROM events) WHERE low IS NULL OR ts < low",
     "stream_quota": f"SELECT event_id, event_type FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY {_ARRIVAL}) AS r FROM events) WHERE r <= 50",
