@@ -9,8 +9,8 @@ bigrams seen KEEP times or more are stored, and what the others would hold goes
 the lower order, so probabilities still sum to one. The model is two tables of
 sorted hash arrays that workers memory-map to score whole texts.
 
-The order is two because the shuffle of all trigrams exceeds the disk that the check
-tool allows; see the README.
+The order is two: the shuffle of all trigrams was estimated (not measured) to exceed the
+disk that the check tool allows; see the README.
 
 Cases: null and empty texts are the end token alone; without training rows every
 probability is 1 (scores 0); repeated rows count as often as they stand there; rows
