@@ -24,6 +24,23 @@ def fit_topics(docs: DataFrame, k: int = 8, passes: int = 6, seed: int = 42, min
     return terms, model, rows
 
 
+def fit_grid(docs: DataFrame, ks: tuple[int, ...] = (4, 8), seeds: tuple[int, ...] = (7, 42), passes: int = 3, min_df: int = 5, max_df: float = 0.85) -> DataFrame:
+    """k, seed, log_perplexity and the share of each run's top words that the run of the
+    first seed has too. Vectors are made once; the runs follow one another."""
+    terms = CountVectorizer(inputCol="tokens", outputCol="features", minDF=min_df, maxDF=max_df, vocabSize=5000).fit(tokenised(docs))
+    rows = terms.transform(tokenised(docs)).select("features").persist()
+    out = []
+    for k in ks:
+        base = None
+        for seed in seeds:
+            model = LDA(k=k, maxIter=passes, seed=seed).fit(rows)
+            top = {w for t in model.describeTopics(10).collect() for w in t.termIndices}  # 10 words for each topic
+            base = base or top
+            out.append((k, seed, float(model.logPerplexity(rows)), len(top & base) / len(top | base)))
+    rows.unpersist()
+    return docs.sparkSession.createDataFrame(out, "k int, seed int, log_perplexity double, shared_words double")
+
+
 def topic_words(terms, model, n: int = 10) -> DataFrame:
     """topic, rank, word, weight."""
     top = model.describeTopics(n).select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "t"))

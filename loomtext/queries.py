@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import models, sampling, topics
-from .plans.queries import run_plan
+from .operators import corpora, models, ranks, sampling, topics
+from .plans.dialect import Portable
+from .plans.queries import PLANS, run_plan
 from .sources import storage
 from .streaming import events
 
@@ -35,6 +36,33 @@ def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(int(x), int(columns[c]), float(cosine[x, columns[c]])) for x, c in zip(rows, best, strict=True)], "x long, y long, cosine double")
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _labels_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Through one file that starts with a byte order mark."""
+    df = _table(spark, sf_dir, "labels")
+    path = storage.scratch(spark, "csv")
+    storage.write_marked_csv(df, path)
+    return storage.read_csv(spark, path, df.schema)
+
+
+def _lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word lists of names, each written as a text file of its own."""
+    paths = []
+    for name, column in (("region", "r_name"), ("nation", "n_name"), ("documents", "lang"), ("documents", "source")):
+        paths.append(storage.scratch(spark, "words"))
+        _table(spark, sf_dir, name).select(F.coalesce(column, F.lit(""))).distinct().write.text(paths[-1])
+    return storage.word_list(spark, paths)
+
+
+def _standardised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").withColumn("year", F.col("doc_id") % 5 + 2021)
+    pages = _table(spark, sf_dir, "pages").withColumn("published", F.col("page_id") % 5 + 2021)
+    return corpora.standardised({"documents": documents, "pages": pages})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_csv_roundtrip": storage.csv_roundtrip,
     "html_unescape": lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", text.plain_text(F.col("html")).alias("body")),
@@ -56,6 +84,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_dedup": lambda s, d: events.drained(events.first_seen(events.event_stream(s, d), ["user_id", "event_type"])),
     "stream_prefix_earliest": lambda s, d: events.drained(events.earlier_records(events.event_stream(s, d))),
     "stream_quota": lambda s, d: events.drained(events.quota(events.event_stream(s, d))),
+    "standardize_corpus": _standardised,
+    "lexicon_scan": _lexicon,
+    "sink_csv_roundtrip": _labels_csv,
+    "lda_grid": lambda s, d: topics.fit_grid(_docs(s, d)),
+    "row_ids": lambda s, d: ranks.row_numbers(_docs(s, d).select("source", "doc_id"), "source", "doc_id").select("doc_id", "row_id"),
+    "avg_rank": lambda s, d: ranks.with_rank(_table(s, d, "part").select("p_partkey", "p_size"), "p_size", "average_rank").select("p_partkey", "average_rank"),
+    "spearman": lambda s, d: ranks.spearman(_table(s, d, "part"), "p_size", "p_retailprice"),
+    "mann_whitney_u": lambda s, d: ranks.mann_whitney_u(_docs(s, d).select("n_chars", "lang"), "n_chars", F.col("lang") == "en"),
 }
 
 _ARRIVAL = "(event_id * 7919) % 1000003"
@@ -68,4 +104,10 @@ ORACLES = {
     "stream_dedup": "SELECT DISTINCT user_id, event_type FROM events",
     "stream_prefix_earliest": f"SELECT event_id FROM (SELECT event_id, ts, min(ts) OVER (PARTITION BY user_id ORDER BY {_ARRIVAL} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low FROM events) WHERE low IS NULL OR ts < low",
     "stream_quota": f"SELECT event_id, event_type FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY {_ARRIVAL}) AS r FROM events) WHERE r <= 50",
+    "standardize_corpus": "SELECT 'documents' AS source, doc_id, text, 2021 + doc_id % 5 AS year FROM documents UNION ALL SELECT 'pages', page_id, html, 2021 + page_id % 5 FROM pages",
+    "lexicon_scan": "SELECT DISTINCT word FROM (SELECT unnest(string_split_regex(lower(line), '\\s+')) AS word FROM (SELECT r_name AS line FROM region UNION ALL SELECT n_name FROM nation UNION ALL SELECT lang FROM documents UNION ALL SELECT source FROM documents) x) y WHERE word <> ''",
+    "sink_csv_roundtrip": "SELECT doc_id, quality, toxic FROM labels",
+    "length_batches": "SELECT doc_id, n_chars FROM documents",
+    "summary_struct": """SELECT '{"n":' || count(*) || ',"chars":' || sum(n_chars) || '}' AS summary FROM documents""",
+    **{name: PLANS[name](Portable()) for name in ("row_ids", "avg_rank", "spearman", "mann_whitney_u")},
 }

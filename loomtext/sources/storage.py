@@ -24,6 +24,20 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
 
 
+def write_marked_csv(df: DataFrame, path: str) -> None:
+    """One file with a byte order mark, for spreadsheet programs. A single task writes
+    it, so it is for reports; write_csv is for whole corpora."""
+    marked = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
+    write_csv(marked.coalesce(1), path)
+
+
+def word_list(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The distinct lower-case words of several text files."""
+    lines = spark.read.text(paths)
+    words = lines.select(F.explode(F.split(F.lower("value"), r"\s+")).alias("word"))
+    return words.where("word <> ''").distinct()
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, encoding: str = "UTF-8") -> DataFrame:
     reader = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"')
     return reader.option("encoding", encoding).csv(path)

@@ -8,6 +8,8 @@ import pytest
 
 from loomtext.functions import text
 from loomtext.operators.topics import best_assignment
+from loomtext.operators import ranks
+from loomtext.plans.dialect import TABLES
 from loomtext.queries import ORACLES, QUERIES
 from loomtext.sources import storage
 
@@ -21,9 +23,10 @@ def test_query(spark, name):
     assert rows
     if name in ORACLES:
         con = duckdb.connect()
-        for t in ("documents", "labels", "events"):
+        for t in TABLES:
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-        assert sorted(map(tuple, rows)) == sorted(con.execute(f"SELECT {', '.join(df.columns)} FROM ({ORACLES[name]}) q").fetchall())
+        expected = sorted(con.execute(f"SELECT {', '.join(df.columns)} FROM ({ORACLES[name]}) q").fetchall())
+        assert [pytest.approx(r, rel=1e-9) for r in expected] == sorted(map(tuple, rows)) if name == "spearman" else sorted(map(tuple, rows)) == expected
 
 
 def test_assignment_is_the_best():
@@ -43,3 +46,20 @@ def test_pages_lose_their_markup(spark):
     page = "<html><SCRIPT>var a = '<b>';</script><p>Fish &amp; chips</p></html>"
     df = spark.createDataFrame([(page,)], "html string")
     assert df.select(text.plain_text(df.html).alias("t")).first().t == text.visible_text(page) == "Fish & chips"
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 128])
+def test_ranks_in_ranges(spark, ranges):
+    rng = random.Random(2)
+    rows = [(i, rng.choice("abb"), rng.choice([None, 1, 1, 1, 2, 5, 9, i])) for i in range(200)] + [(900, None, 4)]
+    df = spark.createDataFrame(rows, "id long, g string, v long")
+    big = float("inf")
+    values = [big if v is None else v for *_, v in rows]
+    expected = {i: sum(x < v for x in values) + (sum(x == v for x in values) + 1) / 2 for (i, *_), v in zip(rows, values, strict=True)}
+    assert {r.id: r.rank for r in ranks.with_rank(df, "v", "rank", ranges).collect()} == expected
+    numbered = sorted(ranks.row_numbers(df, "g", "v", "place", ranges).collect(), key=lambda r: r.place)
+    assert [r.place for r in numbered] == list(range(len(rows)))
+    order = [(r.g is None, r.g or "", big if r.v is None else r.v) for r in numbered]
+    assert order == sorted(order)
+    assert ranks.average_ranks(df.limit(0), "v").collect() == []
+    assert ranks.row_numbers(df.limit(0), "g", "v").collect() == []
