@@ -140,7 +140,8 @@ def signed(docs: DataFrame, bands: int, rows: int, weights: str = "set") -> Data
             keys, bits = [], []
             for i, j, data, offsets in row_chunks(batch.column(2), max_rows=128):
                 own, found = shingles(data, offsets)
-                own, found, weight = weighted(own, found) if weights == "count" else (own, found, np.ones(len(own)))
+                own, found, weight = weighted(own, found)
+                weight = weight if weights == "count" else np.ones(len(own))
                 signature = throw(own, found, weight, j - i, bands * rows)
                 bands_of = band_keys(signature, bands, rows).view(np.int64)
                 bits += list(sketches(signature))

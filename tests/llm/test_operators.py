@@ -72,6 +72,11 @@ def test_near_duplicates_by_brute_force(spark):
     assert got == dict(enumerate(label))
 
 
+def test_repeated_words_cost_no_more_darts(spark):
+    rows = [(1, "the " * 60_000), (2, "the " * 50_000), (3, "a b " * 30_000), (4, "the " * 4), (5, "the " * 5)]
+    assert {r.doc_id: r.class_id for r in neardup.near_duplicates(documents(spark, rows)).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 1}
+
+
 def test_darts_estimate_weighted_similarity():
     rng = np.random.default_rng(2)
     elements = rng.integers(1, 2**63, 300).astype(np.uint64)
