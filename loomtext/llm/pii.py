@@ -26,6 +26,8 @@ EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: IP's matches, since none starts inside a run of digits; a long run is tried once only.
+IP_SCAN = re.compile(r"(?<![0-9])" + IP.pattern)
 IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b")
 DIGIT = re.compile(r"[0-9]")
 
@@ -90,7 +92,7 @@ def proposals(text: str):
         yield from (("email", *span) for span in _email_spans(text))
     if not DIGIT.search(text):
         return
-    for m in IP.finditer(text):
+    for m in IP_SCAN.finditer(text):
         if _is_ip(m[0]):
             yield "ip", *m.span()
     for m in CARD.finditer(text):

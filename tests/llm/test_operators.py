@@ -1,7 +1,11 @@
 """The operators on small fixtures: brute force, round trips and edge cases."""
 
+import hashlib
+import math
 import random
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -144,6 +148,45 @@ def test_email_scan_equals_the_pattern():
         assert list(pii._email_spans(t)) == [m.span() for m in pii.EMAIL.finditer(t)]
 
 
+def test_base_spans_equal_the_patterns(spark):
+    """The report's counts and digest against the plain patterns on random texts."""
+    rng = random.Random(9)
+    rows = [(i, "".join(rng.choice("0123456789" * 2 + ".. -+()@aé😀") for _ in range(rng.randint(0, 120)))) for i in range(600)]
+    rows += [(1000, "4111 1111-1111 1111 and 1.2.3.4.5.6.7.8 +1 (2) 3456789"), (1001, "1" * 20_000), (1002, None)]
+    kinds = {"email": pii.EMAIL, "ip": pii.IP, "card": pii.CARD, "phone": pii.PHONE}
+
+    def fits(kind, found):
+        digits = re.sub("[^0-9]", "", found)
+        if kind == "ip":
+            return all(int(p) <= 255 for p in found.split("."))
+        if kind == "card":
+            total = sum(sum(divmod(2 * int(d), 10)) if i % 2 else int(d) for i, d in enumerate(digits[::-1]))
+            return 16 <= len(digits) <= 19 and total % 10 == 0
+        return kind == "email" or 8 <= len(digits) <= 15
+
+    got = {r.doc_id: r for r in pii.pii_report(documents(spark, rows)).collect()}
+    for i, t in rows:
+        spans = [(k, m.start(), m.end()) for k, p in kinds.items() for m in (p.finditer(t) if t and len(t) < 1000 else ()) if fits(k, m[0])]
+        assert [got[i][f"n_{k}"] for k in kinds] == [sum(s[0] == k for s in spans) for k in kinds]
+        assert got[i].base_sha256 == hashlib.sha256(",".join("%s:%d:%d" % s for s in spans).encode()).hexdigest()
+    assert sum(r.n_card for r in got.values()) and sum(r.n_ip for r in got.values()) and sum(r.n_phone for r in got.values())
+
+
+def test_base_phrases_by_brute_force(spark):
+    rng = random.Random(10)
+    vocabulary = ["MIT", "license", "apache", "general", "public", "x", "é"]
+    rows = [(i, rng.choice([" ", ", ", "--"]).join(rng.choice(vocabulary) for _ in range(rng.randint(0, 60)))) for i in range(200)] + [(900, None)]
+    got = {r.doc_id: r for r in licenses.scan_licenses(documents(spark, rows)).collect()}
+    for i, t in rows:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+        places = [(k, label) for phrase, label in licenses.BASE.items() for k in range(len(words)) if words[k : k + len(phrase.split())] == phrase.split()]
+        starts = [k for k, _ in places]
+        assert (got[i].n_words, got[i].n_base) == (len(words), len(places))
+        assert (got[i].first_word, got[i].last_word) == (min(starts, default=None), max(starts, default=None))
+        assert got[i].base_labels == ",".join(sorted({label for _, label in places}))
+        assert set(filter(None, got[i].base_labels.split(","))) <= set(got[i].labels.split(","))
+
+
 def test_licence_labels(spark):
     rows = [(1, "Released under the MIT License. The MIT License!"), (2, "Licensed under the Apache License, Version 2.0."), (3, "licensed under CC BY-NC 4.0"), (4, text(200))]
     rows = rows + [(10 + i, text(50)) for i in range(30)]
@@ -173,6 +216,41 @@ def test_model_probabilities_sum_to_one(spark):
     assert total - unseen * model.begin_gamma * model.unknown == pytest.approx(1, abs=0.02) or total <= 1.02
 
 
+def test_model_by_brute_force(spark):
+    """Kneser-Ney bigrams in plain dictionaries, from the definitions."""
+    rng = random.Random(11)
+    rows = [(i, " ".join(WORDS[int(rng.paretovariate(0.6)) % 400] for _ in range(rng.randint(0, 40)))) for i in range(150)] + [(900, None), (901, "never seen")]
+    words = lambda t: [*(t or "").lower().split(), "</s>"]
+    trained = [words(t) for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    c, pair = Counter(w for t in trained for w in t), Counter(p for t in trained for p in zip(["<s>", *t], t, strict=False))
+    held = Counter(v for v, _ in pair.elements())
+    n, distinct = sum(c.values()), len(c)
+    k = Counter(w for _, w in pair)
+
+    def discount(counts):
+        n1, n2, n3, n4 = (sum(x == j for x in counts.values()) for j in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        return {1: 1 - 2 * y * n2 / n1, 2: 2 - 3 * y * n3 / n2, 3: 3 - 4 * y * n4 / n3}
+
+    d, e = discount(pair), discount(k)
+    assert all(0 <= x[j] <= j for x in (d, e) for j in x)
+    unknown = sum(e[min(x, 3)] for x in k.values()) / len(pair) / (distinct + 1)
+    kept = {p: x for p, x in pair.items() if x >= ngramlm.KEEP}
+    back = {v: 1 - sum(x - d[min(x, 3)] for (u, _), x in kept.items() if u == v) / held[v] for v in held}
+
+    def p(v, w):
+        low = (k[w] - e[min(k[w], 3)]) / len(pair) + unknown if k[w] else unknown
+        x = kept.get((v, w), 0)
+        return (x - d[min(x, 3)] if x else 0) / held[v] + back[v] * low if held[v] else low
+
+    for r in ngramlm.score_texts(documents(spark, rows)).collect():
+        t = words(dict(rows)[r.doc_id])
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(c[w] > 0 for w in t), n)
+        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (distinct + 1))) for w in t), rel=1e-9)
+        assert r.score == pytest.approx(sum(math.log10(p(v, w)) for v, w in zip(["<s>", *t], t, strict=False)), rel=1e-9)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 1)
+
+
 def test_word_hashes_depend_on_words_alone():
     a, b = b"x yy zzz " * 3, b"zzz " + b"q" * 700_000 + b" yy"
     one, two = (common.hashed_words(np.frombuffer(t, np.uint8), np.array([0, len(t)]), common.NONSPACE)[1] for t in (a, b))
@@ -191,3 +269,14 @@ def test_webp_payloads():
     for t in (b"", b"a" * 64, b"abc" * 5000, re.sub(r"\d", "", text(900)).encode(), b"\0" * 200):
         p = webp.payload_of(t)
         assert len(p) % 64 == 0 and p and webp.load(webp.store(p), len(p)) == p
+
+
+def test_media_digests(spark):
+    rows = [(1, None), (2, ""), (3, "x" * 64), (4, text(300) + " é😀"), (5, text(300)), (6, None)]
+    got = {r.doc_id: r for r in webp.media_report(documents(spark, rows)).collect()}
+    for i, t in rows:
+        data = (t or "").encode()
+        padded = data + b"\0" * (max(64, -(-len(data) // 64) * 64) - len(data))
+        assert (got[i].n_bytes, got[i].payload_bytes) == (len(data), len(padded))
+        assert got[i].payload_sha256 == hashlib.sha256(padded).hexdigest() and got[i].tail_crc32 == zlib.crc32(padded[-64:])
+    assert got[1][1:] == got[2][1:] == got[6][1:]
