@@ -7,8 +7,10 @@ hold a common one. Suffixes whose first k-gram occurs in one document alone are
 dropped; the rest are range-sorted, split anywhere (a hot passage too), and compared
 with the neighbours that belong to other documents. Each match is then extended to
 the right and to the left; one of LEAST words or more is a repeat, and the repeats of
-successive minimisers merge into whole passages. (Where one k-gram has more than NEAR
-extents, a passage's outermost words can be missed; its documents are found.)
+successive minimisers merge into whole passages. Neighbours suffice for rows whose whole
+context stands in another document. For a k-gram with several contexts, each LEAST words
+around it are also compared by grouping on their left and right parts, so what is found
+doesn't depend on the order of the sort or on the number of neighbours.
 
 Neighbours at a range's edge are handed over to the range beside it. A row holds no
 more context than lies between minimisers, so rows stay small however long texts are.
@@ -31,7 +33,7 @@ from .common import _INVERSE, _POWERS, ALNUM, U64, hashed_words, materialise, mi
 KGRAM, WINDOW, LEAST = 26, 25, 50
 #: Suffix rows for each range of the sort.
 RANGE_ROWS = 150_000
-#: Neighbours compared on each side.
+#: Neighbours compared on each side; more give more partners, not more passages.
 NEAR = 4
 
 _PART = 1 << 18
@@ -269,8 +271,35 @@ def _across(rows):
     return _match_rows(matches(Suffixes.read(batch))).select(["doc", "start", "end", "other"]).to_pandas()
 
 
+def windows(sparse: DataFrame) -> DataFrame:
+    """doc, start, end, other: the repeats of contexts that one document alone has. Each
+    LEAST words around a k-gram are a left and a right part of its context; they repeat
+    if the least and the greatest document that hold both parts differ."""
+    sided = sparse.withColumn("side", F.xxhash64("right", "left"))
+    several = sided.groupBy("gram").agg(F.min("side").alias("low"), F.max("side").alias("high")).where("low <> high").select("gram")
+    rows = materialise(sided.join(several, "gram"), "contexts")
+    extents = materialise(rows.groupBy("gram", "side").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.first("right").alias("right"), F.first("left").alias("left")), "extents")
+    span = LEAST - KGRAM
+    back = F.expr(f"explode(filter(sequence(0, {span}), n -> 4 * n <= length(left) AND 4 * ({span} - n) <= length(right)))").alias("back")
+    part = F.expr(f"xxhash64(back, substring(left, 1, 4 * back), substring(right, 1, 4 * ({span} - back)))").alias("part")
+    keyed = extents.select("*", back).select("gram", "side", "low", "high", "back", part)
+    shared = keyed.groupBy("gram", "part").agg(F.min("low").alias("least"), F.max("high").alias("greatest")).where("least <> greatest")
+    alone = keyed.where("low = high").select("gram", "side", F.col("low").alias("doc"), "back", "part").join(shared, ["gram", "part"])
+    other = F.when(F.col("least") < F.col("doc"), F.col("least")).otherwise(F.col("greatest"))
+    hits = alone.groupBy("gram", "side", "doc").agg(F.collect_set("back").alias("backs"), F.min(other).alias("other"))  # LEAST - KGRAM + 1 at most
+    ends = lambda step: F.expr(f"array_sort(filter(backs, n -> NOT array_contains(backs, n + {step})))")
+    runs = F.explode(F.arrays_zip(ends(-1).alias("first"), ends(1).alias("last"))).alias("run")
+    found = rows.select("gram", "side", "doc", "at").join(hits, ["gram", "side", "doc"]).select("doc", "at", "other", runs)
+    found = found.select("doc", F.explode("at").alias("place"), "other", "run")
+    out = materialise(found.select("doc", (F.col("place") - F.col("run.last")).cast("long").alias("start"), (F.col("place") - F.col("run.first") + LEAST).cast("long").alias("end"), "other"), "windows")
+    remove(rows)
+    remove(extents)
+    return out
+
+
 def repeats(docs: DataFrame) -> DataFrame:
-    """doc, start, end (in words, end exclusive), other: matches with suffix neighbours."""
+    """doc, start, end (in words, end exclusive), other: matches with suffix neighbours
+    and, for contexts of one document alone, with any document."""
     spark = docs.sparkSession
     docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), "text")
     grams = materialise(selected(docs), "minimisers")
@@ -283,13 +312,14 @@ def repeats(docs: DataFrame) -> DataFrame:
     ranges = max(1, -(-count // RANGE_ROWS), min(spark.sparkContext.defaultParallelism, -(-count // 5000)))
     ordered = sparse.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
     found = materialise(ordered.mapInArrow(_compared, FOUND), "repeats")
+    apart = windows(sparse)
     remove(sparse)
     edges = found.where("part IS NOT NULL")
     parts = [r.part for r in edges.select("part").distinct().orderBy("part").collect()]  # one for each range
     turn = spark.createDataFrame([(p, i) for i, p in enumerate(parts)], "part int, place int")
     between = edges.join(F.broadcast(turn), "part").withColumn("border", F.when(F.col("head"), F.col("place") - 1).otherwise(F.col("place")))
     handed = between.groupBy("border").applyInPandas(_across, "doc long, start long, end long, other long")
-    return found.where("part IS NULL").select("doc", "start", "end", "other").unionByName(handed)
+    return found.where("part IS NULL").select("doc", "start", "end", "other").unionByName(handed).unionByName(apart)
 
 
 def _merged(spans: DataFrame) -> DataFrame:

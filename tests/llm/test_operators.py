@@ -108,6 +108,31 @@ def test_repeats_by_brute_force(spark):
     assert got == expected
 
 
+def test_repeats_around_a_phrase_of_many_documents(spark):
+    """Pairs that agree before (or around) a common phrase but go on differently."""
+    rng = random.Random(4)
+    phrase, rows = text(45, rng), []
+    for pair in range(12):
+        before, after = text(10, rng), text(3, rng)
+        rows += [" ".join([text(20, rng), before, phrase, text(30, rng)]) for _ in range(2)]
+        rows += [" ".join([text(20, rng), *before.split()[-3:], phrase, after, text(30, rng)]) for _ in range(2)]
+    rows += [" ".join([text(30, rng), phrase, text(30, rng)]) for _ in range(60)]
+    rng.shuffle(rows)
+    seen, expected = {}, {}
+    for i, t in enumerate(rows):
+        w = t.split()
+        for k in range(len(w) - 49):
+            seen.setdefault(tuple(w[k : k + 50]), set()).add(i)
+    for i, t in enumerate(rows):
+        w = t.split()
+        hit = {k + j for k in range(len(w) - 49) if len(seen[tuple(w[k : k + 50])]) > 1 for j in range(50)}
+        if hit:
+            expected[i] = hit
+    assert len(expected) == 48
+    got = {r.doc_id: {k for s in r.passages.split(",") for k in range(*map(int, s.split(":")))} for r in suffixes.repeated_passages(documents(spark, list(enumerate(rows)))).collect()}
+    assert got == expected
+
+
 def test_mix_meets_targets(spark):
     rows = mixing.mix_sources(documents(spark, [(i, text(20 + i % 30)) for i in range(300)])).collect()
     for source in {r.source for r in rows}:
