@@ -11,9 +11,9 @@ rank bound doubles for that document.
 ROWS coordinates make a band. Documents that share a band are compared with the
 band's leader by exact set similarity, so a band of n documents costs n comparisons.
 Where a band still holds more than one class, its members are compared with a second
-leader, then across the classes that remain; wide bands are first split by a second
-shared band, and pairs whose sketches (four bits of each coordinate) differ by
-DEVIATIONS standard deviations more than the similarity allows aren't compared.
+leader, then across the classes that remain, in wide bands block by block. Pairs whose
+sketches (four bits of each coordinate) differ by DEVIATIONS standard deviations more
+than the similarity allows aren't compared.
 Links pass through connected components.
 
 Weights are 1 by default, since the contract's similarity is that of shingle sets
@@ -28,6 +28,7 @@ gets a null class; an empty table gives an empty result; other columns are ignor
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ from .graph import components
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 48, 7
-#: Bands with more members are split by a second shared band before the comparison across classes.
+#: Bands with more members are compared across classes in pairs of blocks of about this size.
 WIDE = 1024
 #: A pair exactly at the threshold is left out once in 4,000 such pairs.
 DEVIATIONS = 3.5
@@ -124,12 +125,17 @@ def sketches(signature: np.ndarray) -> np.ndarray:
     return np.packbits(planes.reshape(n, -1), axis=1).view(np.int64)
 
 
+def allowed(k: int, least: float) -> int:
+    """In how many of k coordinates the sketches of a pair to be compared may differ."""
+    odds = (1 - least) * 15 / 16
+    return int(k * odds + DEVIATIONS * (k * odds * (1 - odds)) ** 0.5)
+
+
 def alike(x: str, y: str, k: int, least: float) -> F.Column:
     """Whether two sketches differ in no more coordinates than the similarity allows."""
-    odds, words = (1 - least) * 15 / 16, -(-k // 64)
-    most = k * odds + DEVIATIONS * (k * odds * (1 - odds)) ** 0.5
+    words = -(-k // 64)
     word = lambda i: " | ".join(f"({x}[{p * words + i}] ^ {y}[{p * words + i}])" for p in range(4))
-    return F.expr(" + ".join(f"bit_count({word(i)})" for i in range(words))) <= int(most)
+    return F.expr(" + ".join(f"bit_count({word(i)})" for i in range(words))) <= allowed(k, least)
 
 
 def signed(docs: DataFrame, bands: int, rows: int, weights: str = "set") -> DataFrame:
@@ -195,14 +201,47 @@ def _mixed(members: DataFrame, links: DataFrame) -> DataFrame:
     return named.join(several.where("low <> high").select("key", "second", "n"), "key")
 
 
-def _across(bins: DataFrame, nodes: DataFrame, k: int, least: float, once: str) -> DataFrame:
-    """Pairs of different classes in a bin whose sketches are alike; ``once`` keeps a
-    pair in the first band that it shares."""
-    full = bins.join(nodes, "node")
-    x, y = (full.select("key", F.col("node").alias(n), F.col("class").alias(f"c{n}"), F.col("sketch").alias(f"s{n}"), F.col("bands").alias(f"b{n}")) for n in "xy")
+def _across(bins: DataFrame, nodes: DataFrame, k: int, least: float) -> DataFrame:
+    """Pairs of different classes in a bin whose sketches are alike, each in the first
+    bin that it shares."""
+    own = bins.groupBy("node").agg(F.collect_set("key").alias("keys"))  # no more than there are bands
+    full = bins.join(nodes.select("node", "sketch").join(own, "node"), "node")
+    x, y = (full.select("key", F.col("node").alias(n), F.col("class").alias(f"c{n}"), F.col("sketch").alias(f"s{n}"), F.col("keys").alias(f"k{n}")) for n in "xy")
+    once = "array_min(array_intersect(kx, ky)) = key"
     return _pairs("x", "y", x.join(y, "key").where(F.col("cx") < F.col("cy")).where(alike("sx", "sy", k, least)).where(once))
 
 
+def _blocks(bins: DataFrame, nodes: DataFrame, k: int, least: float, wide: int) -> DataFrame:
+    """The same for bins (with their size n) of any width: members are dealt to blocks of
+    about ``wide``, and each two blocks are compared in a group of their own."""
+    most = allowed(k, least)
+
+    def near(x: pd.DataFrame, y: pd.DataFrame):
+        if not len(x) or not len(y):
+            return
+        sx, sy = (np.stack(s["sketch"].to_numpy()).astype(np.int64).view(U64).reshape(len(s), 4, -1) for s in (x, y))
+        for i in range(0, len(x), 64):
+            differ = np.zeros((len(sx[i : i + 64]), len(y), sx.shape[2]), U64)
+            for plane in range(4):
+                differ |= sx[i : i + 64, None, plane] ^ sy[None, :, plane]
+            good = (np.bitwise_count(differ).sum(2, dtype=np.int64) <= most) & (x["class"].to_numpy()[i : i + 64, None] != y["class"].to_numpy()[None])
+            a, b = np.nonzero(good)
+            yield x["node"].to_numpy()[a + i], y["node"].to_numpy()[b]
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        main = rows["class"] == rows["class"].mode().iloc[0]  # its members needn't be compared with each other
+        x, y = (rows["own"] == rows[side].iloc[0] for side in ("low", "high"))
+        found = [*near(rows[x & ~main], rows[y]), *near(rows[x & main], rows[y & ~main])]
+        a, b = (np.concatenate([f[i] for f in found] or [np.zeros(0, np.int64)]) for i in (0, 1))
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+    count = F.ceil(F.col("n") / wide).cast("int")
+    dealt = bins.join(nodes.select("node", "sketch"), "node").withColumn("own", F.pmod(F.xxhash64("node", "key"), count).cast("int"))
+    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
+    sides = (F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    return spread.select("key", *sides, "own", "node", "class", "sketch").groupBy("key", "low", "high").applyInPandas(compare, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weights: str = "set", wide: int = WIDE) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class) and class_size for each document."""
     every = materialise(signed(docs, bands, rows, weights), "signatures")
@@ -225,10 +264,8 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BAN
 
     mixed = materialise(_mixed(members.select("key", "node"), links), "mixed")
     narrow = mixed.where(F.col("n") <= wide).select("key", "node", "class")
-    broad = mixed.where(F.col("n") > wide).select("key", "node", "class")
-    also = members.select("node", F.col("key").alias("other"))
-    refined = broad.join(also, "node").where("key < other").select(F.xxhash64("key", "other").alias("key"), "node", "class")
-    across = _across(narrow, nodes, bands * rows, least, "element_at(filter(bx, (v, i) -> v = by[i]), 1) = key").union(_across(refined, nodes, bands * rows, least, "true")).distinct()
+    broad = mixed.where(F.col("n") > wide).select("key", "node", "class", "n")
+    across = _across(narrow, nodes, bands * rows, least).union(_blocks(broad, nodes, bands * rows, least, wide)).distinct()
     rest = materialise(across.join(first.union(second), ["a", "b"], "left_anti"), "pairs")
     links = materialise(links.union(similar_pairs(rest, texts, least, weights)), "links")
 

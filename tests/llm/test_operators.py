@@ -76,6 +76,27 @@ def test_near_duplicates_by_brute_force(spark):
     assert got == dict(enumerate(label))
 
 
+@pytest.mark.parametrize("wide", [2, 1 << 20])
+def test_wide_bands_by_brute_force(spark, wide):
+    """Two bands of one coordinate: unlike texts share one, and some like pairs only one."""
+    rng, rows = random.Random(8), []
+    base = text(80, rng).split()
+    for _ in range(60):
+        words = list(base)
+        for k in rng.sample(range(76), 5):
+            words[k] = "x%d" % rng.randrange(10**6)
+        rows += [" ".join(words), " ".join([*words[:78], "y%d" % rng.randrange(10**6), words[79]])]
+    rng.shuffle(rows)
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(76)} for t in rows]
+    label = list(range(len(rows)))
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    for _ in rows:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(documents(spark, list(enumerate(rows))), bands=2, rows=1, wide=wide).collect()}
+    assert got == dict(enumerate(label))
+
+
 def test_repeated_words_cost_no_more_darts(spark):
     rows = [(1, "the " * 60_000), (2, "the " * 50_000), (3, "a b " * 30_000), (4, "the " * 4), (5, "the " * 5)]
     assert {r.doc_id: r.class_id for r in neardup.near_duplicates(documents(spark, rows)).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 1}
