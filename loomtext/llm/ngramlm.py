@@ -4,13 +4,12 @@ Tokens are counted by 64-bit hash over all training texts. Bigrams leave each ta
 pre-aggregated, dealt by their context; contexts that hold a large share of all
 tokens are dealt by the whole bigram, so no bucket grows with a frequent word. A
 bucket yields its bigrams, counts of counts, continuation counts (distinct contexts
-of a token) and each context's discounted mass. All counts enter the statistics; only
-bigrams seen KEEP times or more are stored, and what the others would hold goes to
-the lower order, so probabilities still sum to one. The model is two tables of
+of a token) and each context's discounted mass. All bigrams are stored; with a higher
+``keep`` those seen less often enter the statistics alone, and what they would hold goes
+to the lower order, so probabilities still sum to one. The model is two tables of
 sorted hash arrays that workers memory-map to score whole texts.
 
-The order is two: the shuffle of all trigrams was estimated (not measured) to exceed the
-disk that the check tool allows; see the README.
+The order is two; three has been neither written nor measured, see the README.
 
 Cases: null and empty texts are the end token alone; without training rows every
 probability is 1 (scores 0); repeated rows count as often as they stand there; rows
@@ -29,10 +28,10 @@ from .common import NONSPACE, U64, held_out, hashed_words, materialise, mix, rem
 from .hasharrays import HashArrays, write_arrays
 
 BEGIN, END = U64(0x0B5E55ED0B5E55ED), U64(0x00E9D00000E9D000)
-#: Bigrams of this count or more are stored.
-KEEP = 2
+#: Bigrams of this count or more are stored: all.
+KEEP = 1
 #: Tokens for each bucket, and tokens that a task holds before it sends them on.
-BUCKET_TOKENS, FLUSH = 1_000_000, 1_000_000
+BUCKET_TOKENS, FLUSH = 500_000, 1_000_000
 _PAIR = U64(0x9FB21C651E98DF25)
 
 
@@ -116,7 +115,7 @@ def bigram_blocks(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
     return docs.select("text").mapInArrow(scan, "bucket int, v binary, w binary, c binary")
 
 
-REDUCED = "kind int, key long, c long, n2 long, n3 long"
+REDUCED = "kind int, key long, c long, n1 long, n2 long, n3 long"
 STORED, CONTEXT, CONTINUED, SEEN = range(4)
 
 
@@ -128,17 +127,18 @@ def _reduce(keep: int):
         v, w = v[first], w[first]
         stored = c >= keep
         ctx, own = np.unique(v[stored], return_inverse=True)
-        mass, n2, n3 = (np.bincount(own, x, len(ctx)).astype(np.int64) for x in (c[stored], c[stored] == 2, c[stored] >= 3))
+        mass, n1, n2, n3 = (np.bincount(own, x, len(ctx)).astype(np.int64) for x in (c[stored], c[stored] == 1, c[stored] == 2, c[stored] >= 3))
         nexts, n = np.unique(w, return_counts=True)
         seen = np.bincount(np.minimum(c, 5), minlength=6)[1:5]
         parts = [
-            (STORED, keys[stored].view(np.int64), c[stored], 0, 0),
-            (CONTEXT, ctx.view(np.int64), mass, n2, n3),
-            (CONTINUED, nexts.view(np.int64), n, 0, 0),
-            (SEEN, np.arange(1, 5), seen, 0, 0),
+            (STORED, keys[stored].view(np.int64), c[stored], 0, 0, 0),
+            (CONTEXT, ctx.view(np.int64), mass, n1, n2, n3),
+            (CONTINUED, nexts.view(np.int64), n, 0, 0, 0),
+            (SEEN, np.arange(1, 5), seen, 0, 0, 0),
         ]
-        frames = [pd.DataFrame({"kind": k, "key": a, "c": b, "n2": x, "n3": y}) for k, a, b, x, y in parts]
-        return pd.concat(frames, ignore_index=True).astype({"kind": np.int32, "key": np.int64, "c": np.int64, "n2": np.int64, "n3": np.int64})
+        sizes = [len(part[1]) for part in parts]
+        column = lambda i: np.concatenate([np.broadcast_to(np.asarray(part[i], np.int64), n) for part, n in zip(parts, sizes, strict=True)])
+        return pd.DataFrame({"kind": np.repeat(np.arange(4, dtype=np.int32), sizes), **{k: column(i) for i, k in enumerate(("key", "c", "n1", "n2", "n3"), 1)}}, copy=False)
 
     return merge
 
@@ -196,9 +196,7 @@ def train(docs: DataFrame, keep: int = KEEP) -> Model:
     lost = e1 * by_count.get(1, 0) + e2 * by_count.get(2, 0) + e3 * sum(by_count.get(i, 0) for i in (3, 4, 5))
     unknown = (lost / types if types else 1.0) / (distinct + 1)
     less = F.when(F.col("k") == 1, e1).when(F.col("k") == 2, e2).otherwise(e3)
-    contexts = reduced.where(F.col("kind") == CONTEXT).groupBy("key").agg((F.sum("c") - F.lit(d2) * F.sum("n2") - F.lit(d3) * F.sum("n3")).alias("mass"))
-    if keep < 2:
-        raise ValueError("bigrams seen once are never stored")
+    contexts = reduced.where(F.col("kind") == CONTEXT).groupBy("key").agg((F.sum("c") - F.lit(d1) * F.sum("n1") - F.lit(d2) * F.sum("n2") - F.lit(d3) * F.sum("n3")).alias("mass"))
     begin = contexts.where(F.col("key") == int(BEGIN.astype(np.int64))).first()
     begins = counts.where(F.col("key") == int(END.astype(np.int64))).first()
     begins = begins.c if begins else 0
@@ -219,7 +217,7 @@ def score_texts(docs: DataFrame, folds: int = 5, keep: int = KEEP) -> DataFrame:
 
     def scan(batches):
         for batch in batches:
-            for i, j, data, offsets in row_chunks(batch.column(1), 1 << 22):
+            for i, j, data, offsets in row_chunks(batch.column(1)):
                 columns = shared.value.score(*tokens(data, offsets), j - i)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *map(pa.array, columns)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 

@@ -326,3 +326,10 @@ def test_media_digests(spark):
         assert (got[i].n_bytes, got[i].payload_bytes) == (len(data), len(padded))
         assert got[i].payload_sha256 == hashlib.sha256(padded).hexdigest() and got[i].tail_crc32 == zlib.crc32(padded[-64:])
     assert got[1][1:] == got[2][1:] == got[6][1:]
+
+
+def test_model_stores_bigrams_seen_once(spark):
+    docs = documents(spark, [(1, "a b a b"), (2, "a c")]).select("text")
+    model = ngramlm.train(docs)
+    pair = lambda v, w: ngramlm.bigram(*(np.array([ngramlm.tokens(np.frombuffer(x, np.uint8), np.array([0, 1]))[1][0]]) for x in (v, w)))
+    assert [int(model.pairs.find(pair(*p))[0][0]) for p in ((b"a", b"b"), (b"a", b"c"), (b"b", b"a"), (b"c", b"b"))] == [2, 1, 1, 0]
