@@ -41,8 +41,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 48, 7
 #: Bands with more members are compared across classes in pairs of blocks of about this size.
 WIDE = 1024
-#: A pair exactly at the threshold is left out once in 4,000 such pairs.
-DEVIATIONS = 3.5
+#: A pair exactly at the threshold is left out once in 124,000 such pairs (the bands lose one in 80,000).
+DEVIATIONS = 4.5
 
 _CELL, _DART, _STEP = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F)
 _POISSON = np.array([int(min(1.0, p) * (2**32 - 1)) for p in np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, i + 1), initial=1.0) for i in range(14)])], U64)

@@ -97,6 +97,12 @@ def test_wide_bands_by_brute_force(spark, wide):
     assert got == dict(enumerate(label))
 
 
+def test_sketches_lose_less_than_bands():
+    k, odds = neardup.BANDS * neardup.ROWS, (1 - neardup.SIMILARITY) * 15 / 16
+    lost = sum(math.comb(k, i) * odds**i * (1 - odds) ** (k - i) for i in range(neardup.allowed(k, neardup.SIMILARITY) + 1, k + 1))
+    assert lost < (1 - neardup.SIMILARITY**neardup.ROWS) ** neardup.BANDS
+
+
 def test_repeated_words_cost_no_more_darts(spark):
     rows = [(1, "the " * 60_000), (2, "the " * 50_000), (3, "a b " * 30_000), (4, "the " * 4), (5, "the " * 5)]
     assert {r.doc_id: r.class_id for r in neardup.near_duplicates(documents(spark, rows)).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 1}
