@@ -26,8 +26,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is named (tests)."""
+    """The cluster's shared folder; a temporary one only in local mode without a name (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("name a folder that driver and executors share in spark.checkpoint.dir")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="loomtext-")
         spark.conf.set("spark.checkpoint.dir", base)
@@ -52,13 +54,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of shared storage, if it is there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def remove(df: DataFrame) -> None:
     """Delete a table that ``materialise`` wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     for folder in {f.rpartition("/")[0] for f in df.inputFiles() if "/loomtext/" in f}:
-        path = hadoop(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, folder)
 
 
 def held_out(id_col: str, folds: int) -> F.Column:

@@ -26,7 +26,7 @@ def _place(keys: np.ndarray, files: int) -> np.ndarray:
     return ((keys.astype(U64) >> U64(32)) * U64(files) >> U64(32)).astype(np.int64)
 
 
-def _save(path: str, blob: bytes) -> None:
+def save_file(path: str, blob: bytes) -> None:
     """Under a name of this attempt's own first, so that a repeated task does no harm."""
     local, own = local_file(path), f"{path}.{uuid.uuid4().hex}"
     if local:
@@ -46,13 +46,16 @@ def _save(path: str, blob: bytes) -> None:
     store.move(temp, name)
 
 
-def _map(path: str) -> np.ndarray:
+def map_file(path: str) -> np.ndarray | None:
+    """The file's bytes, memory-mapped; None where there is no such file."""
     local = local_file(path)
     if local:
-        return np.memmap(local, np.uint8, "r")
+        return np.memmap(local, np.uint8, "r") if os.path.exists(local) else None
     from pyarrow import fs
 
     store, name = fs.FileSystem.from_uri(path)
+    if store.get_file_info(name).type == fs.FileType.NotFound:
+        return None
     with tempfile.TemporaryFile() as held:
         with store.open_input_stream(name) as f:
             while block := f.read(1 << 24):
@@ -64,11 +67,13 @@ def _map(path: str) -> np.ndarray:
 class HashArrays:
     """Where a table's files are: (path, rows) by file number, and its value types."""
 
-    def __init__(self, files: int, paths: dict[int, tuple[str, int]], types: list[tuple[str, str]]):
-        self.files, self.paths, self.types, self._open = files, paths, types, {}
+    def __init__(self, folder: str, files: int, paths: dict[int, tuple[str, int]], types: list[tuple[str, str]]):
+        self.folder, self.files, self.paths, self.types, self._open = folder, files, paths, types, {}
+        rows = [paths[n][1] if n in paths else 0 for n in range(files)]
+        self._before = np.append(0, np.cumsum(rows)).astype(np.int64)
 
     def __getstate__(self):
-        return self.files, self.paths, self.types
+        return self.folder, self.files, self.paths, self.types
 
     def __setstate__(self, state):
         self.__init__(*state)
@@ -76,7 +81,7 @@ class HashArrays:
     def _columns(self, n: int) -> tuple[np.ndarray, ...]:
         if n not in self._open:
             path, rows = self.paths[n]
-            raw, at, out = _map(path), 0, []
+            raw, at, out = map_file(path), 0, []
             for kind in (U64, *(np.dtype(t) for _, t in self.types)):
                 size = rows * np.dtype(kind).itemsize
                 out.append(raw[at : at + size].view(kind))
@@ -84,6 +89,16 @@ class HashArrays:
             self._open[n] = tuple(out)
         return self._open[n]
 
+    def rank(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each of the sorted keys among all of the table's."""
+        out = np.zeros(len(keys), np.int64)
+        cuts = np.searchsorted(_place(keys, self.files), np.arange(self.files + 1))
+        for n in self.paths:
+            a, b = cuts[n], cuts[n + 1]
+            if a < b:
+                out[a:b] = self._before[n] + np.searchsorted(self._columns(n)[0], keys[a:b])
+        return out
+
     def find(self, keys: np.ndarray) -> list[np.ndarray]:
         """The value columns for sorted keys; 0 where a key isn't there."""
         out = [np.zeros(len(keys), t) for _, t in self.types]
@@ -110,10 +125,10 @@ def write_arrays(df: DataFrame, label: str, types: list[tuple[str, str]]) -> Has
         keys = rows["key"].to_numpy().view(U64)
         order = np.argsort(keys)
         path = f"{folder}/{n:06d}.bin"
-        _save(path, b"".join([keys[order].tobytes(), *[rows[k].to_numpy()[order].astype(t).tobytes() for k, t in types]]))
+        save_file(path, b"".join([keys[order].tobytes(), *[rows[k].to_numpy()[order].astype(t).tobytes() for k, t in types]]))
         return pd.DataFrame({"file": [n], "path": [path], "rows": [len(rows)]})
 
     top = F.shiftrightunsigned("key", 32)
     placed = df.select("key", *names, F.shiftright(top * files, 32).cast("int").alias("file"))
     found = placed.groupBy("file").applyInPandas(save, "file int, path string, rows long").collect()  # one row a file
-    return HashArrays(files, {r["file"]: (r["path"], r["rows"]) for r in found}, types)
+    return HashArrays(folder, files, {r["file"]: (r["path"], r["rows"]) for r in found}, types)

@@ -5,7 +5,6 @@ import math
 import random
 import re
 import zlib
-from collections import Counter
 
 import numpy as np
 import pytest
@@ -259,50 +258,6 @@ def test_classifiers_generalise(spark):
     assert sum(r.predicted == r.doc_id % 2 for r in held) > 0.97 * len(held)
 
 
-def test_model_probabilities_sum_to_one(spark):
-    docs = documents(spark, [(i, text(30)) for i in range(80)]).select("text")
-    model = ngramlm.train(docs)
-    tokens = np.sort(np.unique(np.concatenate([ngramlm.tokens(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[1] for w in WORDS])))
-    total = sum(10 ** model.score(np.zeros(1, np.int64), np.array([t]), np.array([ngramlm.BEGIN]), 1)[3][0] for t in tokens)
-    unseen = sum(model.words.find(tokens)[0] == 0) - 1
-    assert total - unseen * model.begin_gamma * model.unknown == pytest.approx(1, abs=0.02) or total <= 1.02
-
-
-def test_model_by_brute_force(spark):
-    """Kneser-Ney bigrams in plain dictionaries, from the definitions."""
-    rng = random.Random(11)
-    rows = [(i, " ".join(WORDS[int(rng.paretovariate(0.6)) % 400] for _ in range(rng.randint(0, 40)))) for i in range(150)] + [(900, None), (901, "never seen")]
-    words = lambda t: [*(t or "").lower().split(), "</s>"]
-    trained = [words(t) for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
-    c, pair = Counter(w for t in trained for w in t), Counter(p for t in trained for p in zip(["<s>", *t], t, strict=False))
-    held = Counter(v for v, _ in pair.elements())
-    n, distinct = sum(c.values()), len(c)
-    k = Counter(w for _, w in pair)
-
-    def discount(counts):
-        n1, n2, n3, n4 = (sum(x == j for x in counts.values()) for j in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2)
-        return {1: 1 - 2 * y * n2 / n1, 2: 2 - 3 * y * n3 / n2, 3: 3 - 4 * y * n4 / n3}
-
-    d, e = discount(pair), discount(k)
-    assert all(0 <= x[j] <= j for x in (d, e) for j in x)
-    unknown = sum(e[min(x, 3)] for x in k.values()) / len(pair) / (distinct + 1)
-    kept = {p: x for p, x in pair.items() if x >= ngramlm.KEEP}
-    back = {v: 1 - sum(x - d[min(x, 3)] for (u, _), x in kept.items() if u == v) / held[v] for v in held}
-
-    def p(v, w):
-        low = (k[w] - e[min(k[w], 3)]) / len(pair) + unknown if k[w] else unknown
-        x = kept.get((v, w), 0)
-        return (x - d[min(x, 3)] if x else 0) / held[v] + back[v] * low if held[v] else low
-
-    for r in ngramlm.score_texts(documents(spark, rows)).collect():
-        t = words(dict(rows)[r.doc_id])
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(c[w] > 0 for w in t), n)
-        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (distinct + 1))) for w in t), rel=1e-9)
-        assert r.score == pytest.approx(sum(math.log10(p(v, w)) for v, w in zip(["<s>", *t], t, strict=False)), rel=1e-9)
-        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 1)
-
-
 def test_word_hashes_depend_on_words_alone():
     a, b = b"x yy zzz " * 3, b"zzz " + b"q" * 700_000 + b" yy"
     one, two = (common.hashed_words(np.frombuffer(t, np.uint8), np.array([0, len(t)]), common.NONSPACE)[1] for t in (a, b))
@@ -332,10 +287,3 @@ def test_media_digests(spark):
         assert (got[i].n_bytes, got[i].payload_bytes) == (len(data), len(padded))
         assert got[i].payload_sha256 == hashlib.sha256(padded).hexdigest() and got[i].tail_crc32 == zlib.crc32(padded[-64:])
     assert got[1][1:] == got[2][1:] == got[6][1:]
-
-
-def test_model_stores_bigrams_seen_once(spark):
-    docs = documents(spark, [(1, "a b a b"), (2, "a c")]).select("text")
-    model = ngramlm.train(docs)
-    pair = lambda v, w: ngramlm.bigram(*(np.array([ngramlm.tokens(np.frombuffer(x, np.uint8), np.array([0, 1]))[1][0]]) for x in (v, w)))
-    assert [int(model.pairs.find(pair(*p))[0][0]) for p in ((b"a", b"b"), (b"a", b"c"), (b"b", b"a"), (b"c", b"b"))] == [2, 1, 1, 0]
