@@ -50,7 +50,7 @@ def map_file(path: str) -> np.ndarray | None:
     """The file's bytes, memory-mapped; None where there is no such file."""
     local = local_file(path)
     if local:
-        return np.memmap(local, np.uint8, "r") if os.path.exists(local) else None
+        return np.asarray(np.memmap(local, np.uint8, "r")) if os.path.exists(local) else None
     from pyarrow import fs
 
     store, name = fs.FileSystem.from_uri(path)

@@ -23,6 +23,7 @@ training rows; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections import OrderedDict
 
 import numpy as np
@@ -38,7 +39,7 @@ END = U64(0x00E9D00000E9D000)
 #: Ids below the vocabulary's: a token that training hasn't seen, and the start mark.
 UNKNOWN, START, FIRST = 0, 1, 2
 #: Tokens for each bucket, tokens that a task holds before it sends them on, bytes scored at once.
-BUCKET_TOKENS, FLUSH, CHUNK = 1_000_000, 1_000_000, 2 << 20
+BUCKET_TOKENS, FLUSH, CHUNK = 1_000_000, 1_000_000, 4 << 20
 _PAIR = U64(0x9FB21C651E98DF25)
 
 
@@ -186,9 +187,11 @@ class Bucket:
         arrays = [own[name].astype(kind or id_type) for name, kind in zip(cls.NAMES, cls.TYPES, strict=True)]
         return b"".join([np.array([np.dtype(id_type).itemsize, *map(len, arrays)], U64).tobytes(), *[x.tobytes() for x in arrays]])
 
-    def find(self, contexts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each trigram's count, and (4, n): total, followers seen once, twice, more often of its context."""
-        keys, own = np.unique(contexts, return_inverse=True)
+    def find(self, contexts: np.ndarray, words: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Each trigram's count, and its context's total and what discounts take from it;
+        contexts come sorted, ``cut`` is the discount of counts 0 to 3 and more."""
+        new = np.append(True, contexts[1:] != contexts[:-1])
+        keys, own = contexts[new], np.cumsum(new) - 1
         at = np.searchsorted(self.contexts, keys)
         there = at < len(self.contexts)
         there[there] = self.contexts[at[there]] == keys[there]
@@ -198,20 +201,21 @@ class Bucket:
         which = np.repeat(np.arange(len(keys)), size)
         flat = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + low[which]
         c = _whole(self.counts, flat, self.big_at, self.big)
-        stats = np.stack([np.bincount(which, x, len(keys)) for x in (c, c == 1, c == 2, c >= 3)])
+        total, mass = (np.bincount(which, x, len(keys)) for x in (c, cut[np.minimum(c, 3)]))
         follower = which.astype(U64) << U64(40) | self.ids[flat]  # sorted: by context, then by id
         wanted = own.astype(U64) << U64(40) | words
         spot = np.minimum(np.searchsorted(follower, wanted), max(len(follower) - 1, 0))
         found = np.where(follower[spot] == wanted, c[spot], 0) if len(follower) else np.zeros(len(words), np.int64)
-        return found, stats[:, own]
+        return found, total[own], mass[own]
 
     def lefts_of(self, bigrams: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.bigrams, bigrams)
+        keys, own = np.unique(bigrams, return_inverse=True)  # sorted keys are found faster
+        at = np.searchsorted(self.bigrams, keys)
         there = at < len(self.bigrams)
-        there[there] = self.bigrams[at[there]] == bigrams[there]
-        out = np.zeros(len(bigrams), np.int64)
+        there[there] = self.bigrams[at[there]] == keys[there]
+        out = np.zeros(len(keys), np.int64)
         out[there] = _whole(self.lefts, at[there], self.big_lefts_at, self.big_lefts)
-        return out
+        return out[own]
 
 
 REDUCED = "kind int, key long, c long, n1 long, n2 long, n3 long"
@@ -318,12 +322,10 @@ class Model:
         u = before(begins, v, START)
         total, gamma = before(begins, total[inverse], start_total), before(begins, gamma[inverse], start_gamma)
 
-        count, lefts, stats = self._counts(u, v, w, parts)
+        count, held, mass, lefts = self._counts(u, v, w, parts)
         p = p1[inverse]
         p = np.where(total > 0, _less(lefts, self.cut2) / np.maximum(total, 1) + gamma * p, p)
-        held = stats[0]
-        back = np.array(self.cut3) @ stats[1:]
-        p = np.where(held > 0, (_less(count, self.cut3) + back * p) / np.maximum(held, 1), p)
+        p = np.where(held > 0, (_less(count, self.cut3) + mass * p) / np.maximum(held, 1), p)
         add = lambda x: np.bincount(own, x, n)
         return add(np.ones(len(own))).astype(np.int64), add(c[inverse] > 0).astype(np.int64), add(base[inverse]), add(np.log10(p))
 
@@ -339,25 +341,27 @@ class Model:
         return _less(k, self.cut1) / max(self.types, 1) + self.unknown, total, mass / np.maximum(total, 1)
 
     def _counts(self, u, v, w, parts):
-        """Count of each trigram, left neighbours of its last two words, its context's statistics."""
-        n = len(w)
-        contexts, bigrams = pair(u, v), pair(v, w)
-        count, lefts, stats = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros((4, n))
+        """Of each trigram: its count, its context's total and what discounts take from it,
+        and the left neighbours of its last two words."""
+        contexts, cut = pair(u, v), np.array([0.0, *self.cut3])
         place = bucket_of(u, v, w, parts, self.buckets)
-        order = np.argsort(place, kind="stable")
-        cuts = np.flatnonzero(np.append(True, place[order][1:] != place[order][:-1])) if n else []
-        for a, b in zip(cuts, np.append(cuts[1:], n) if n else [], strict=True):
-            here = order[a:b]
-            file = self.bucket(int(place[here[0]]))
+        order = np.lexsort((contexts, place))
+        place, contexts, bigrams, w, hot = place[order], contexts[order], pair(v, w)[order], w[order], np.flatnonzero(parts[order] > 1)
+        count, total, mass, lefts = np.zeros(len(w), np.int64), np.zeros(len(w)), np.zeros(len(w)), np.zeros(len(w), np.int64)
+        cuts = [*np.flatnonzero(np.append(True, place[1:] != place[:-1])).tolist(), len(w)] if len(w) else []
+        for a, b in itertools.pairwise(cuts):
+            file = self.bucket(int(place[a]))
             if file is not None:
-                count[here], stats[:, here] = file.find(contexts[here], w[here])
-                lefts[here] = file.lefts_of(bigrams[here])
-        hot = np.flatnonzero(parts > 1)
+                count[a:b], total[a:b], mass[a:b] = file.find(contexts[a:b], w[a:b], cut)
+                lefts[a:b] = file.lefts_of(bigrams[a:b])
         by = hot[np.argsort(contexts[hot])]
-        stats[:, by] = np.stack(self.hot_contexts.find(contexts[by]))
+        total[by], *seen = self.hot_contexts.find(contexts[by])
+        mass[by] = sum(d * n for d, n in zip(self.cut3, seen, strict=True))
         by = hot[np.argsort(bigrams[hot])]
         lefts[by] = self.hot_bigrams.find(bigrams[by])[0]
-        return count, lefts, stats
+        back = np.empty(len(w), np.int64)
+        back[order] = np.arange(len(w))
+        return count[back], total[back], mass[back], lefts[back]
 
 
 def train(docs: DataFrame, size: int = BUCKET_TOKENS) -> Model:
