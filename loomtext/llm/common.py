@@ -66,6 +66,28 @@ def remove(df: DataFrame) -> None:
         delete(df.sparkSession, folder)
 
 
+#: Tables of at most so many rows are broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+#: A key that holds more than this part of all rows is joined by broadcast.
+HOT_SHARE = 1000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """``df`` (narrow, already written), marked for a broadcast if its size allows one."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def join_keys(rows: DataFrame, keys: DataFrame, key: str | list[str], n: str) -> DataFrame:
+    """``rows`` joined with ``keys``, a written table with one row for each key and, in its
+    column ``n``, how many of the rows have it. Keys that hold more than one in HOT_SHARE
+    of the rows, of which there are fewer than HOT_SHARE, are joined where their rows lie,
+    so no key's rows meet in one task."""
+    total = keys.agg(F.sum(n)).first()[0] or 0
+    hot = F.broadcast(keys.where(F.col(n) > total // HOT_SHARE))
+    rest = rows.join(hot.select(key) if isinstance(key, str) else hot.select(*key), key, "left_anti").join(keys.where(F.col(n) <= total // HOT_SHARE), key)
+    return rest.unionByName(rows.join(hot, key))
+
+
 def held_out(id_col: str, folds: int) -> F.Column:
     """True where crc32 of the id as text leaves remainder 1."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == 1, F.lit(False))

@@ -2,7 +2,11 @@
 
 Each round links every node to the smallest node it knows of; labels travel over
 joins and pre-aggregated minima, and each round's edges are written to shared
-storage, so nothing is collected and a hub's edges can be split over tasks.
+storage, so nothing is collected. Nodes that hold more than a thousandth of the edges
+are joined by broadcast where their edges lie, so a hub's edges stay spread over tasks.
+
+Cases: loops and repeated edges change nothing; edges with a null end are dropped; an
+empty table gives an empty result; other columns than a and b are ignored.
 """
 
 from __future__ import annotations
@@ -10,20 +14,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, remove
+from .common import join_keys, materialise, remove
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges (a, b): large stars link each larger neighbour to a node's minimum,
-    small stars each smaller one and the node itself."""
+    small stars each smaller one and the node itself. Replaces ``edges``."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    lowest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    linked = both.join(lowest, "a")
+    lowest = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n")), "lowest")
+    linked = join_keys(both, lowest, "a", "n")
     if large:
         out = linked.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = linked.select(F.col("b").alias("a"), F.col("m").alias("b")).union(lowest.select("a", F.col("m").alias("b")))
-    return out.where("a <> b").distinct()
+    out = materialise(out.where("a <> b").distinct(), "edges")
+    remove(lowest)
+    remove(edges)
+    return out
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -31,11 +38,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     edges = materialise(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").distinct(), "edges")
     state = None
     for _ in range(rounds):
-        turned = materialise(_star(_star(edges, True), False), "edges")
-        remove(edges)
-        edges = turned
+        edges = _star(_star(edges, True), False)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first()
         if now == state:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
+            named = edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
+            found = materialise(named, "components")
+            remove(edges)
+            return found
         state = now
     raise RuntimeError("components did not settle")

@@ -22,7 +22,9 @@ Weights are 1 by default, since the contract's similarity is that of shingle set
 Cases: texts without words (null, empty, punctuation) link to nothing; fewer than
 five words are one shingle; equal texts are one node, whatever their number; rows
 that share an id but not their text are one node for linking; a row with a null id
-gets a null class; an empty table gives an empty result; other columns are ignored.
+gets a null class; a text of any length has one signature of the same size; ids of
+other whole-number types are cast to long; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, U64, hashed_words, materialise, mix, remove, row_chunks
+from .common import ALNUM, U64, few, hashed_words, join_keys, materialise, mix, remove, row_chunks
 from .graph import components
 
 SHINGLE = 5
@@ -156,7 +158,7 @@ def signed(docs: DataFrame, bands: int, rows: int, weights: str = "set") -> Data
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, longs), pa.array(bits, longs)], ["doc_id", "copy", "bands", "sketch"])
 
-    texts = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("copy"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("copy"), "text")
     return texts.mapInArrow(scan, "doc_id long, copy string, bands array<long>, sketch array<long>")
 
 
@@ -195,10 +197,16 @@ def _pairs(a: str, b: str, of: DataFrame) -> DataFrame:
 
 
 def _mixed(members: DataFrame, links: DataFrame) -> DataFrame:
-    """The members of bands that still hold several classes, with their class."""
-    named = members.join(components(links), "node", "left").select("key", "node", F.coalesce("component", "node").alias("class"))
+    """The members of bands that still hold several classes, with their class and the
+    number of the band's members."""
+    found = components(links)
+    named = materialise(members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("class")), "named")
     several = named.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max("node").alias("second"), F.count(F.lit(1)).alias("n"))
-    return named.join(several.where("low <> high").select("key", "second", "n"), "key")
+    several = materialise(several.where("low <> high").select("key", "second", "n"), "several")
+    mixed = materialise(join_keys(named, several, "key", "n"), "mixed")
+    for used in (found, named, several):
+        remove(used)
+    return mixed
 
 
 def _across(bins: DataFrame, nodes: DataFrame, k: int, least: float) -> DataFrame:
@@ -245,38 +253,46 @@ def _blocks(bins: DataFrame, nodes: DataFrame, k: int, least: float, wide: int)
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weights: str = "set", wide: int = WIDE) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class) and class_size for each document."""
     every = materialise(signed(docs, bands, rows, weights), "signatures")
-    copies = every.where("bands IS NOT NULL AND doc_id IS NOT NULL").groupBy("copy").agg(F.min("doc_id").alias("node"))
-    nodes = every.where("bands IS NOT NULL").join(copies, "copy").where("doc_id = node").select("node", "bands", "sketch").dropDuplicates(["node"])
+    plain = materialise(every.select("doc_id", "copy", F.col("bands").isNotNull().alias("full")), "rows")
+    copies = materialise(plain.where("full AND doc_id IS NOT NULL").groupBy("copy").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")), "copies")
+    signatures = every.where("bands IS NOT NULL").select("copy", F.col("doc_id").alias("node"), "bands", "sketch")
+    nodes = materialise(signatures.join(copies.select("copy", "node"), ["copy", "node"]).select("node", "bands", "sketch").dropDuplicates(["node"]), "nodes")
+    remove(every)
     banded = nodes.select("node", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = materialise(banded.join(shared, "key"), "bands")
-    wanted = members.select(F.col("node").alias("wanted")).distinct()
-    texts = materialise(
-        docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, F.col("node") == F.col("wanted"), "left_semi"), "texts"
-    )
+    shared = materialise(banded.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    members = materialise(join_keys(banded, shared, "key", "n").select("node", "key", "leader"), "bands")
+    remove(shared)
+    wanted = materialise(members.select(F.col("node").alias("wanted")).distinct(), "wanted")
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("node"), "text")
+    texts = materialise(texts.join(few(wanted), F.col("node") == F.col("wanted"), "left_semi"), "texts")
     first = materialise(_pairs("node", "leader", members), "pairs")
     links = materialise(similar_pairs(first, texts, least, weights), "links")
 
-    mixed = materialise(_mixed(members, links), "mixed")
+    mixed = _mixed(members, links)
     second = materialise(_pairs("node", "second", mixed).join(first, ["a", "b"], "left_anti"), "pairs")
-    links = materialise(links.union(similar_pairs(second, texts, least, weights)), "links")
+    more = materialise(similar_pairs(second, texts, least, weights), "links")
     remove(mixed)
 
-    mixed = materialise(_mixed(members.select("key", "node"), links), "mixed")
+    mixed = _mixed(members.select("key", "node"), links.union(more))
     narrow = mixed.where(F.col("n") <= wide).select("key", "node", "class")
     broad = mixed.where(F.col("n") > wide).select("key", "node", "class", "n")
     across = _across(narrow, nodes, bands * rows, least).union(_blocks(broad, nodes, bands * rows, least, wide)).distinct()
     rest = materialise(across.join(first.union(second), ["a", "b"], "left_anti"), "pairs")
-    links = materialise(links.union(similar_pairs(rest, texts, least, weights)), "links")
+    last = materialise(similar_pairs(rest, texts, least, weights), "links")
 
-    classes = materialise(copies.join(components(links), "node", "left").select("copy", F.coalesce("component", "node").alias("class_id")), "classes")
-    for used in (members, texts, first, second, mixed, rest):
+    found = components(links.union(more).union(last))
+    classes = materialise(copies.join(found, "node", "left").select("copy", "n", F.coalesce("component", "node").alias("class_id")), "classes")
+    for used in (copies, nodes, members, wanted, texts, first, second, mixed, rest, links, more, last, found):
+        remove(used)
+    known = F.col("full") & F.col("doc_id").isNotNull()
+    alone = plain.where(~known).select("doc_id", F.col("doc_id").alias("class_id"))
+    named = materialise(join_keys(plain.where(known).select("copy", "doc_id"), classes, "copy", "n").select("doc_id", "class_id").union(alone), "classes")
+    sizes = materialise(named.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")), "sizes")
+    for used in (plain, classes):
         remove(used)
-    linked = every.alias("d").join(classes.alias("c"), (F.col("d.copy") == F.col("c.copy")) & F.col("d.bands").isNotNull() & F.col("d.doc_id").isNotNull(), "left")
-    named = linked.select("d.doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
-    sizes = named.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
-    both = named.alias("d").join(sizes.alias("s"), F.col("d.class_id").eqNullSafe(F.col("s.class_id")))
-    return both.select("doc_id", "d.class_id", "class_size")
+    nulls = named.where("class_id IS NULL")
+    both = join_keys(named, sizes.where("class_id IS NOT NULL"), "class_id", "class_size").select("doc_id", "class_id", "class_size")
+    return both.unionByName(nulls.crossJoin(F.broadcast(sizes.where("class_id IS NULL").select("class_size"))))  # one row at most
 
 
 def keep_first(docs: DataFrame, **how) -> DataFrame:
@@ -284,8 +300,12 @@ def keep_first(docs: DataFrame, **how) -> DataFrame:
 
     Rows with a null id and texts without words all stay; of rows equal in every column one stays.
     """
-    extra = near_duplicates(docs, **how).where("doc_id <> class_id").select(F.col("doc_id").alias("extra_id")).distinct()
-    kept = docs.join(extra, docs["doc_id"] == extra["extra_id"], "left_anti")
-    twice = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("twice_id"))
-    same = kept["doc_id"] == twice["twice_id"]
-    return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates())
+    found = near_duplicates(docs.select("doc_id", "text"), **how)
+    extra = materialise(found.where("doc_id <> class_id").select(F.col("doc_id").alias("__extra_id")).distinct(), "extra")
+    twice = materialise(found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("__twice_id")), "twice")
+    id_ = F.col("doc_id").cast("long")
+    kept = docs.join(few(extra), id_ == F.col("__extra_id"), "left_anti")
+    if twice.isEmpty():
+        return kept
+    again = few(twice)
+    return kept.join(again, id_ == F.col("__twice_id"), "left_anti").unionByName(kept.join(again, id_ == F.col("__twice_id"), "left_semi").dropDuplicates())
