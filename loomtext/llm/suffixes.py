@@ -25,10 +25,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _INVERSE, _POWERS, ALNUM, U64, hashed_words, materialise, mix, remove, row_chunks
+from .common import _INVERSE, _POWERS, ALNUM, U64, hashed_words, join_keys, materialise, mix, remove, row_chunks
 
 KGRAM, WINDOW, LEAST = 26, 25, 50
 #: Suffix rows for each range of the sort.
@@ -276,15 +276,18 @@ def windows(sparse: DataFrame) -> DataFrame:
     LEAST words around a k-gram are a left and a right part of its context; they repeat
     if the least and the greatest document that hold both parts differ."""
     sided = sparse.withColumn("side", F.xxhash64("right", "left"))
-    several = sided.groupBy("gram").agg(F.min("side").alias("low"), F.max("side").alias("high")).where("low <> high").select("gram")
-    rows = materialise(sided.join(several, "gram"), "contexts")
+    several = sided.groupBy("gram").agg(F.min("side").alias("low"), F.max("side").alias("high"), F.count(F.lit(1)).alias("n"))
+    several = materialise(several.where("low <> high").select("gram", "n"), "several")
+    rows = materialise(join_keys(sided, several, "gram", "n").drop("n"), "contexts")
     extents = materialise(rows.groupBy("gram", "side").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.first("right").alias("right"), F.first("left").alias("left")), "extents")
     span = LEAST - KGRAM
     back = F.expr(f"explode(filter(sequence(0, {span}), n -> 4 * n <= length(left) AND 4 * ({span} - n) <= length(right)))").alias("back")
     part = F.expr(f"xxhash64(back, substring(left, 1, 4 * back), substring(right, 1, 4 * ({span} - back)))").alias("part")
     keyed = extents.select("*", back).select("gram", "side", "low", "high", "back", part)
-    shared = keyed.groupBy("gram", "part").agg(F.min("low").alias("least"), F.max("high").alias("greatest")).where("least <> greatest")
-    alone = keyed.where("low = high").select("gram", "side", F.col("low").alias("doc"), "back", "part").join(shared, ["gram", "part"])
+    one = F.count(F.when(F.col("low") == F.col("high"), 1)).alias("n")
+    shared = keyed.groupBy("gram", "part").agg(F.min("low").alias("least"), F.max("high").alias("greatest"), one)
+    shared = materialise(shared.where("least <> greatest AND n > 0"), "shared")
+    alone = join_keys(keyed.where("low = high").select("gram", "side", F.col("low").alias("doc"), "back", "part"), shared, ["gram", "part"], "n")
     other = F.when(F.col("least") < F.col("doc"), F.col("least")).otherwise(F.col("greatest"))
     hits = alone.groupBy("gram", "side", "doc").agg(F.collect_set("back").alias("backs"), F.min(other).alias("other"))  # LEAST - KGRAM + 1 at most
     ends = lambda step: F.expr(f"array_sort(filter(backs, n -> NOT array_contains(backs, n + {step})))")
@@ -292,8 +295,8 @@ def windows(sparse: DataFrame) -> DataFrame:
     found = rows.select("gram", "side", "doc", "at").join(hits, ["gram", "side", "doc"]).select("doc", "at", "other", runs)
     found = found.select("doc", F.explode("at").alias("place"), "other", "run")
     out = materialise(found.select("doc", (F.col("place") - F.col("run.last")).cast("long").alias("start"), (F.col("place") - F.col("run.first") + LEAST).cast("long").alias("end"), "other"), "windows")
-    remove(rows)
-    remove(extents)
+    for used in (rows, extents, several, shared):
+        remove(used)
     return out
 
 
@@ -303,10 +306,13 @@ def repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), "text")
     grams = materialise(selected(docs), "minimisers")
-    shared = grams.groupBy("gram").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high").select("gram")
-    places = grams.join(shared, "gram").groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
+    shared = grams.groupBy("gram").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count(F.lit(1)).alias("n"))
+    shared = materialise(shared.where("low <> high").select("gram", "n"), "shared")
+    held = join_keys(grams, shared, "gram", "n")
+    places = held.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))  # no more than the text has words
     sparse = materialise(suffixes(docs.join(places, "doc")), "suffixes")
     remove(grams)
+    remove(shared)
     count = sparse.count()
     order = ["gram", "right", "left", "doc", "at"]
     ranges = max(1, -(-count // RANGE_ROWS), min(spark.sparkContext.defaultParallelism, -(-count // 5000)))
@@ -315,9 +321,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     apart = windows(sparse)
     remove(sparse)
     edges = found.where("part IS NOT NULL")
-    parts = [r.part for r in edges.select("part").distinct().orderBy("part").collect()]  # one for each range
-    turn = spark.createDataFrame([(p, i) for i, p in enumerate(parts)], "part int, place int")
-    between = edges.join(F.broadcast(turn), "part").withColumn("border", F.when(F.col("head"), F.col("place") - 1).otherwise(F.col("place")))
+    # One row for each range: the sort in one task is of these alone.
+    turn = edges.select("part").distinct().withColumn("place", F.row_number().over(Window.orderBy("part")))
+    between = edges.join(turn, "part").withColumn("border", F.when(F.col("head"), F.col("place") - 1).otherwise(F.col("place")))
     handed = between.groupBy("border").applyInPandas(_across, "doc long, start long, end long, other long")
     return found.where("part IS NULL").select("doc", "start", "end", "other").unionByName(handed).unionByName(apart)
 
