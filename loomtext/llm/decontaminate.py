@@ -7,12 +7,16 @@ windows that end their shortest prefix in it and a direct comparison confirms th
 
 Windows that are shorter than the full width come from short items; each width is
 searched with tables of its own, so that one short item doesn't shorten all jumps.
-The benchmark is dealt into chunks of bounded size; only one chunk's tables are
-broadcast at a time, and every document is searched against every chunk.
+A benchmark of up to CHUNK_BYTES is searched in one pass that reports (or filters) rows
+where they lie. A larger one is dealt into chunks: each is built, broadcast, searched by
+a job of its own and released, and only the texts that it hits are written, under the
+digest of the text, so a task that runs again writes the same.
 
 Cases: null and empty texts have no words; an item without words has no window; a
 null item_id counts as the id ''; items that share an id count once; repeated
-documents are separate rows; an empty benchmark finds nothing.
+documents are separate rows; a text of any length is searched whole, in memory
+proportional to it; an empty benchmark finds nothing; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,9 +27,8 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import alnum_words, byte_column
+from .common import alnum_words, byte_column, few, materialise
 
 WIDTH = 10
 #: Bytes of benchmark text whose tables are held at once.
@@ -109,63 +112,83 @@ def merge(spans: Iterable[tuple[int, int]]) -> list[int]:
     return out
 
 
-FOUND = "n_words long, spans array<long>, items array<string>"
+_SPANS, _ITEMS = pa.list_(pa.int64()), pa.list_(pa.string())
+_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 
 
-def _searched(docs: DataFrame, bench: DataFrame, width: int) -> DataFrame:
-    """One row of FOUND and the row's key for each document."""
-    spark = docs.sparkSession
-    tables = spark.sparkContext.broadcast(Benchmark(((r[0], bytes(r[1])) for r in bench.toLocalIterator()), width))
-    key = docs.schema["key"].dataType.simpleString()
+def _chunks(bench: DataFrame, chunk_bytes: int) -> list[DataFrame]:
+    item = F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item")
+    bench = bench.select(item, F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    n = 1 + (bench.agg(F.sum(F.length("text"))).first()[0] or 0) // chunk_bytes
+    return [bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == c) for c in range(n)] if n > 1 else [bench]
 
-    def scan(batches):
-        bench = tables.value
+
+def _tables(bench: DataFrame, width: int):
+    """The broadcast tables of a chunk, which has a bounded size."""
+    return bench.sparkSession.sparkContext.broadcast(Benchmark(((r[0], bytes(r[1])) for r in bench.toLocalIterator()), width))
+
+
+def _scanned(bench: Benchmark, texts: pa.Array):
+    """Words, merged hit spans and items of each text."""
+    for text in byte_column(texts):
+        words = alnum_words(text.as_py())
+        spans, items = bench.scan(words)
+        yield len(words), spans, sorted(items)
+
+
+def _hits(docs: DataFrame, chunks: list[DataFrame], width: int) -> DataFrame:
+    """copy (the text's digest), spans, items of each distinct text that any chunk hits."""
+    texts, found = docs.select(F.md5(F.coalesce("text", F.lit(""))).alias("copy"), "text"), None
+    for chunk in chunks:
+        tables = _tables(chunk, width)
+
+        def scan(batches, tables=tables):
+            for batch in batches:
+                rows = [(c, s, i) for c, (_, s, i) in zip(batch.column(0), _scanned(tables.value, batch.column(1)), strict=True) if s]
+                columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), _SPANS, _ITEMS))]
+                yield pa.RecordBatch.from_arrays(columns, ["copy", "spans", "items"])
+
+        part = materialise(texts.mapInArrow(scan, "copy string, spans array<long>, items array<string>").dropDuplicates(["copy"]), "hits")
+        tables.destroy()
+        found = part if found is None else found.unionByName(part)
+    each = found.groupBy("copy").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))  # one row a chunk
+
+    def join(batches):
         for batch in batches:
-            counts, spans, items = [], [], []
-            for text in byte_column(batch.column(1)):
-                words = alnum_words(text.as_py())
-                hit, found = bench.scan(words)
-                counts.append(len(words))
-                spans.append(hit)
-                items.append(sorted(found))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))],
-                ["key", "n_words", "spans", "items"],
-            )
+            spans = [merge(zip(x[::2], x[1::2], strict=True)) for x in batch.column(1).to_pylist()]
+            items = [sorted(set(x)) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, _SPANS), pa.array(items, _ITEMS)], ["copy", "spans", "items"])
 
-    return docs.select("key", "text").mapInArrow(scan, f"key {key}, {FOUND}")
+    return materialise(each.mapInArrow(join, "copy string, spans array<long>, items array<string>"), "hits")
 
 
 def contamination(docs: DataFrame, bench: DataFrame, width: int = WIDTH, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (merged hit
     spans, as start, end, start, end ... in words) for each document."""
-    item = F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item")
-    bench = bench.select(item, F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    size = bench.agg(F.sum(F.length("text"))).first()[0] or 0
-    chunks = 1 + size // chunk_bytes
-    if chunks == 1:
-        found = _searched(docs.select(F.col("doc_id").alias("key"), "text"), bench, width).withColumnRenamed("key", "doc_id")
+    chunks = _chunks(bench, chunk_bytes)
+    if len(chunks) == 1:
+        tables = _tables(chunks[0], width)
+
+        def scan(batches):
+            for batch in batches:
+                rows = list(_scanned(tables.value, batch.column(1)))
+                columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), _SPANS, _ITEMS))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_words", "spans", "items"])
+
+        key = docs.schema["doc_id"].dataType.simpleString()
+        found = docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {key}, n_words long, spans array<long>, items array<string>")
     else:
-        rows = docs.select(F.struct("doc_id", F.monotonically_increasing_id().alias("row")).alias("key"), "text")
-        parts = [_searched(rows, bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(chunks)) == c), width) for c in range(chunks)]
-        every = parts[0]
-        for part in parts[1:]:
-            every = every.unionByName(part)
-        found = every.groupBy("key").agg(
-            F.first("n_words").alias("n_words"),
-            F.flatten(F.collect_list("spans")).alias("spans"),
-            F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        )
-        found = found.select("key.doc_id", "n_words", _merged("spans").alias("spans"), "items")
-    widths = F.aggregate(
-        F.sequence(F.lit(0), F.greatest(F.size("spans") / 2 - 1, F.lit(0)).cast("int")),
-        F.lit(0).cast("long"),
-        lambda total, i: total + F.coalesce(F.get("spans", 2 * i + 1) - F.get("spans", 2 * i), F.lit(0)),
-    )
+        text = F.coalesce("text", F.lit(""))
+        rows = docs.select("doc_id", F.regexp_count(text, F.lit(_WORD)).cast("long").alias("n_words"), F.md5(text).alias("copy"))
+        none = [F.coalesce(name, F.array().cast(kind)).alias(name) for name, kind in (("spans", "array<long>"), ("items", "array<string>"))]
+        found = rows.join(few(_hits(docs, chunks, width)), "copy", "left").select("doc_id", "n_words", *none)
+    ends = F.filter("spans", lambda _, i: i % 2 == 1)
+    starts = F.filter("spans", lambda _, i: i % 2 == 0)
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda n, x: n + x)
     return found.select(
         "doc_id",
         "n_words",
-        widths.alias("n_hit"),
+        (total(ends) - total(starts)).alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.size("spans") > 0).alias("contaminated"),
@@ -173,15 +196,19 @@ def contamination(docs: DataFrame, bench: DataFrame, width: int = WIDTH, chunk_b
     )
 
 
-@F.udf(T.ArrayType(T.LongType()))
-def _merged(flat):
-    return merge(zip(flat[::2], flat[1::2], strict=True))
+def clean_documents(docs: DataFrame, bench: DataFrame, width: int = WIDTH, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """The documents without any benchmark window, with their own columns."""
+    chunks, at = _chunks(bench, chunk_bytes), docs.columns.index("text")
+    if len(chunks) > 1:
+        hit = few(_hits(docs, chunks, width).select(F.col("copy").alias("__hit_copy")))
+        return docs.join(hit, F.md5(F.coalesce("text", F.lit(""))) == F.col("__hit_copy"), "left_anti")
+    tables = _tables(chunks[0], width)
 
+    def scan(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([not spans for _, spans, _ in _scanned(tables.value, batch.column(at))], pa.bool_()))
 
-def clean_documents(docs: DataFrame, bench: DataFrame, **how) -> DataFrame:
-    """The documents without any benchmark window, with their own columns."""
-    hit = contamination(docs, bench, **how).where("contaminated").select(F.col("doc_id").alias("hit_id")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["hit_id"]), "left_anti")
+    return docs.mapInArrow(scan, docs.schema)
 
 
 ORACLE = r"""
