@@ -9,7 +9,8 @@ exactly zero, so what is broadcast is a short list of (index, weight).
 At most TRAIN_ROWS labelled rows are learned from (a bounded sample by hash of the
 id); everything else covers all rows. Cases: null and empty texts have no features
 and score the intercept; without training rows the score is 0; repeated rows score
-alike; other columns are ignored.
+alike; a text of any length is scored whole, in memory proportional to it; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -122,33 +123,55 @@ def train(sample: DataFrame, bits: int = BITS, **how) -> tuple[np.ndarray, float
     return weights, bias
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, threshold: float = THRESHOLD, bits: int = BITS, bound: int = TRAIN_ROWS) -> DataFrame:
-    """doc_id, held_out, score, predicted for each document."""
+def scorer(docs: DataFrame, labels: DataFrame, folds: int, bits: int, bound: int):
+    """A function from a column of texts to their scores, with the fitted weights broadcast."""
     weights, bias = train(training_rows(docs, labels, "toxic", folds, bound, "toxic"), bits)
     at = np.flatnonzero(weights)
     model = docs.sparkSession.sparkContext.broadcast((at.astype(np.int32), weights[at], bias))
 
-    def scan(batches):
+    def prepared():
         at, w, bias = model.value
         weights = np.zeros(2**bits, np.float32)
         weights[at] = w
         every = np.arange(2**bits)
         useful = (weights != 0) | (weights[repeated(every, 2, bits)] != 0) | (weights[repeated(every, 3, bits)] != 0)
-        for batch in batches:
-            score = np.full(batch.num_rows, bias)
-            for i, j, data, offsets in row_chunks(batch.column(1)):
+
+        def score(texts: pa.Array) -> np.ndarray:
+            out = np.full(len(texts), bias)
+            for i, j, data, offsets in row_chunks(texts):
                 rows, found = features(data, offsets, bits)
                 kept = useful[found]
                 pairs = with_repeats((rows[kept] << bits) | found[kept], bits)
-                score[i:j] += np.bincount(pairs >> bits, weights[pairs & (2**bits - 1)], j - i)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(score, -35, 35))))], ["doc_id", "score"])
+                out[i:j] += np.bincount(pairs >> bits, weights[pairs & (2**bits - 1)], j - i)
+            return 1 / (1 + np.exp(-np.clip(out, -35, 35)))
+
+        return score
+
+    return prepared
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, threshold: float = THRESHOLD, bits: int = BITS, bound: int = TRAIN_ROWS) -> DataFrame:
+    """doc_id, held_out, score, predicted for each document."""
+    prepared = scorer(docs, labels, folds, bits, bound)
+
+    def scan(batches):
+        score = prepared()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score(batch.column(1)))], ["doc_id", "score"])
 
     key = docs.schema["doc_id"].dataType.simpleString()
     scored = docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {key}, score double")
     return scored.select("doc_id", held_out("doc_id", folds).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """The documents that the classifier doesn't call toxic, with their own columns."""
-    bad = score_toxicity(docs, labels, **how).where("predicted = 1").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+def drop_toxic(docs: DataFrame, labels: DataFrame, folds: int = 3, threshold: float = THRESHOLD, bits: int = BITS, bound: int = TRAIN_ROWS) -> DataFrame:
+    """The documents that the classifier doesn't call toxic, with their own columns; they
+    are judged where they lie, each row by its own text."""
+    prepared, at = scorer(docs, labels, folds, bits, bound), docs.columns.index("text")
+
+    def scan(batches):
+        score = prepared()
+        for batch in batches:
+            yield batch.filter(pa.array(score(batch.column(at)) < threshold))
+
+    return docs.mapInArrow(scan, docs.schema)
