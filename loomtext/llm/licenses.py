@@ -1,53 +1,43 @@
 """Licence scans by a positional rare-token index (operator 7).
 
-Each licence template is indexed by its rarest words: the ANCHORS words of highest
-inverse document frequency, counted over all documents. A file looks up its own
-occurrences of those words; postings whose position relative to the file agrees
-vote for one placement of the template. A placement with at least half of the
-anchors' weight is compared word by word, and counts if the template's mandatory
-key phrases stand there.
+Whole licence texts and their usual notices are cut into passages; each passage is
+indexed by its rarest words: the ANCHORS words of highest inverse document frequency,
+counted over all documents. A file looks up its own occurrences of those words;
+postings whose position relative to the file lies in one band (two overlapping bands
+of BAND words, so words put in or left out don't split a placement) vote for one
+placement of the template. A placement with VOTES of the anchors' weight is confirmed
+if the template's mandatory key phrases stand there and MATCH of its words do in order.
 
 Base labels come from three fixed phrases and are always kept. The score is the
 best placement's share of matching words, at least 0.5 if a base phrase occurs.
-Cases: null and empty texts have no words and score 0; repeated rows are separate;
-other columns are ignored; an empty table gives an empty result.
+Cases: null and empty texts have no words and score 0; repeated rows are separate; a
+text of any length is scanned whole, in memory proportional to it; ties between
+placements of a label take the better share; other columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
+from difflib import SequenceMatcher
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import alnum_words, byte_column
+from .licence_texts import TEMPLATES
 
 # The base phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# Licence notices (label, text, mandatory key phrases).
-TEMPLATES = (
-    ("mit-notice", "released under the mit license", ("mit license",)),
-    ("apache-2.0", "licensed under the apache license version 2 0", ("apache license version 2 0",)),
-    ("gpl-3.0", "this work is licensed under the gnu general public license version 3", ("gnu general public license", "version 3")),
-    ("gpl-2.0", "this work is licensed under the gnu general public license version 2", ("gnu general public license", "version 2")),
-    ("lgpl", "licensed under the gnu lesser general public license", ("lesser general public license",)),
-    ("agpl", "licensed under the gnu affero general public license", ("affero general public license",)),
-    ("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
-    ("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa",)),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution",)),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use", "conditions are met")),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("with or without fee",)),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", ("permission is hereby granted", "without restriction")),
-    ("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software", "public domain")),
-    ("proprietary", "all rights reserved no part of this publication may be reproduced", ("all rights reserved",)),
-)
-
-ANCHORS = 4
-SLACK = 6
+#: Anchors for each passage of so many words.
+ANCHORS, PASSAGE = 4, 32
+#: A placement may drift by one or two bands of so many words against the template.
+BAND = 16
+#: Share of a template's anchor weight that proposes a placement, and of its words that confirm it.
+VOTES, MATCH = 0.5, 0.6
 
 
 def phrase_places(words: list[bytes], phrase: list[bytes]) -> list[int]:
@@ -59,39 +49,55 @@ def phrase_places(words: list[bytes], phrase: list[bytes]) -> list[int]:
     return out
 
 
+def aligned(template: list[bytes], region: list[bytes]) -> float:
+    """The share of the template's words that stand in the region in the same order."""
+    blocks = SequenceMatcher(None, template, region, autojunk=False).get_matching_blocks()
+    return sum(b.size for b in blocks) / len(template)
+
+
 class Index:
-    """Postings of the templates' anchor words, weighed by the given idf."""
+    """Postings of the rarest words of each passage of each template, weighed by idf."""
 
     def __init__(self, idf: dict[bytes, float], templates=TEMPLATES, anchors: int = ANCHORS):
         self.idf, self.templates, self.postings, self.needed = idf, [], defaultdict(list), []
         for n, (label, text, phrases) in enumerate(templates):
             words = alnum_words(text.encode())
-            self.templates.append((label, words, [alnum_words(p.encode()) for p in phrases]))
-            rare = sorted(set(words), key=lambda w: (-idf.get(w, 0.0), w))[:anchors]
-            for at, word in enumerate(words):
-                if word in rare:
-                    self.postings[word].append((n, at))
-            self.needed.append(sum(idf.get(words[i], 0.0) for i in range(len(words)) if words[i] in rare) / 2)
+            self.templates.append((label, words, [(alnum_words(p.encode()), not p.startswith("!")) for p in phrases]))
+            weight = 0.0
+            for i in range(0, len(words), PASSAGE):
+                passage = words[i : i + PASSAGE]
+                for word in sorted(set(passage), key=lambda w: (-idf.get(w, 0.0), w))[:anchors]:
+                    self.postings[word].append((n, i + passage.index(word)))
+                    weight += idf.get(word, 0.0)
+            self.needed.append(weight * VOTES)
         self.base = [(alnum_words(p.encode()), label) for p, label in BASE.items()]
 
+    def confirmed(self, n: int, words: list[bytes], start: int) -> float:
+        """The share of template n that stands near ``start``, 0 unless it's confirmed there."""
+        _, own, phrases = self.templates[n]
+        region = words[max(0, start) : start + len(own) + 2 * BAND]
+        if any(bool(phrase_places(region, p)) != wanted for p, wanted in phrases):
+            return 0.0
+        share = aligned(own, region)
+        return share if share >= MATCH else 0.0
+
     def placements(self, words: list[bytes]) -> dict[str, float]:
         """Label and best share of matching words of the templates found."""
         if self.postings.keys().isdisjoint(words):
             return {}
-        votes: dict[tuple[int, int], float] = defaultdict(float)
+        votes: dict[tuple[int, int], set[int]] = defaultdict(set)
         for at, word in enumerate(words):
-            if word in self.postings:
-                for n, own in self.postings[word]:
-                    votes[n, at - own] += self.idf.get(word, 0.0)
+            for n, own in self.postings.get(word, ()):
+                band = (at - own) // BAND
+                votes[n, band].add(own)
+                votes[n, band - 1].add(own)
         found: dict[str, float] = {}
-        for (n, start), weight in votes.items():
-            label, own, phrases = self.templates[n]
-            if weight < self.needed[n]:
-                continue
-            near = words[max(0, start - SLACK) : start + len(own) + SLACK]
-            if all(phrase_places(near, p) for p in phrases):
-                same = sum(0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(own))
-                found[label] = max(found.get(label, 0.0), same / len(own))
+        for (n, band), anchors in votes.items():
+            label, own, _ = self.templates[n]
+            if found.get(label, 0.0) < 1 and sum(self.idf.get(own[i], 0.0) for i in anchors) >= self.needed[n]:
+                share = self.confirmed(n, words, band * BAND)
+                if share:
+                    found[label] = max(found.get(label, 0.0), share)
         return found
 
     def report(self, words: list[bytes]) -> tuple:
