@@ -1,20 +1,25 @@
 """Personal data: patterns propose, checksums confirm, context adjusts (operator 8).
 
-Kinds, in the order in which spans are listed: email, ip, card, phone, iban. The
-first four are the base kinds, proposed by fixed patterns and confirmed by their
-checks (ip: parts to 255; card: Luhn; phone: digit count). The method's own kind is
-iban, confirmed by the mod-97 remainder; its spans are kept from a score of 0.5.
-A span's score starts from the strength of its check and rises where a word of its
-kind stands within 40 characters before or after it; base spans stay at any score.
-
-Matches are leftmost and do not overlap within a kind; a match that fails its check
+Kinds, in the order in which spans are listed: email, ip, card, phone, iban, ssn,
+passport, account, secret. The first four are the base kinds, proposed by fixed patterns
+and confirmed by their checks (ip: parts to 255; card: Luhn; phone: digit count). The
+others are the method's own: iban has its country's length and the mod-97 remainder, ssn
+the ranges that are issued, secret a mix of letters and digits. A span's score starts
+from the strength of its check, rises where a word of its kind stands within REACH
+characters before or after it, and falls where a word stands that speaks for another
+meaning. The method's spans are kept from a score of ENOUGH, so those whose pattern is
+weak need their context; they give way to spans of stronger kinds that they overlap.
+Base spans stay at any score.
+
+Matches are leftmost and do not overlap within a kind; a base match that fails its check
 is dropped whole. Offsets count code points, end exclusive. Cases: null and empty
-texts have no spans; repeated rows are separate; other columns are ignored.
+texts have no spans; repeated rows are separate; a text of any length is scanned whole;
+an empty table gives an empty result; other columns are ignored (and kept by the mask).
 """
 
 from __future__ import annotations
 
-import hashlib
+import bisect
 import re
 
 import pyarrow as pa
@@ -28,22 +33,48 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: IP's matches, since none starts inside a run of digits; a long run is tried once only.
 IP_SCAN = re.compile(r"(?<![0-9])" + IP.pattern)
-IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b")
+IBAN = re.compile(r"(?<![A-Za-z0-9])([A-Z]{2})[0-9]{2}(?=\x20?[A-Z0-9])")
+SSN = re.compile(r"(?<![0-9A-Za-z-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9A-Za-z-])")
+PASSPORT = re.compile(r"(?<![0-9A-Za-z])[A-Z]{1,2}[0-9]{6,9}(?![0-9A-Za-z])")
+ACCOUNT = re.compile(r"(?<![0-9A-Za-z.+-])[0-9]{8,12}(?![0-9A-Za-z]|[.-][0-9])")
+SECRET = re.compile(r"(?<![0-9A-Za-z_/+-])[0-9A-Za-z_+/-]{20,200}(?![0-9A-Za-z_/+-])")
 DIGIT = re.compile(r"[0-9]")
 
-KINDS = ("email", "ip", "card", "phone", "iban")
+# The length of an IBAN by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+COUNTRY = {c: n for n, codes in IBAN_LENGTHS.items() for c in codes.split()}
+
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "passport", "account", "secret")
 BASE_KINDS = KINDS[:4]
 #: Strength of the check alone, before any context.
-PRIOR = {"email": 0.8, "ip": 0.5, "card": 0.7, "phone": 0.5, "iban": 0.7}
+PRIOR = {"email": 0.8, "ip": 0.5, "card": 0.7, "phone": 0.5, "iban": 0.7, "ssn": 0.4, "passport": 0.35, "account": 0.3, "secret": 0.35}
 CONTEXT = {
     "email": ("mail", "contact", "write", "address"),
     "ip": ("ip", "host", "server", "address", "login"),
     "card": ("card", "visa", "credit", "payment", "debit"),
     "phone": ("phone", "call", "tel", "mobile", "fax"),
     "iban": ("iban", "account", "bank", "transfer", "konto"),
+    "ssn": (r"ssn\b", "social security", r"tax id\b", "national id", "taxpayer"),
+    "passport": ("passport", "reisepass", "pasaporte", "passeport", "travel document"),
+    "account": (r"account\b", r"acct\b", "konto", "cuenta", "routing", r"iban\b"),
+    "secret": ("password", "passwd", r"pwd\b", "secret", r"token\b", r"api.?key\b", r"private.?key\b", r"access.?key\b", "bearer", "credential"),
+}
+#: Words that speak for another meaning.
+AGAINST = {
+    "ip": ("version", "release"),
+    "ssn": ("part no", "model", "isbn"),
+    "passport": ("part no", "model", "flight"),
+    "account": ("order", "invoice", "isbn", "ticket", "serial", "followers"),
+    "secret": ("commit", "checksum", "sha1", "sha256", "md5", "digest", "revision", "integrity"),
 }
-NEAR = {kind: re.compile(r"\b(?:" + "|".join(words) + r")", re.IGNORECASE) for kind, words in CONTEXT.items()}
-REACH, BONUS, ENOUGH = 40, 0.2, 0.5
+_any = lambda words: re.compile(r"\b(?:" + "|".join(words) + r")", re.IGNORECASE)
+NEAR, FAR = {k: _any(w) for k, w in CONTEXT.items()}, {k: _any(w) for k, w in AGAINST.items()}
+REACH, BONUS, MALUS, ENOUGH = 40, 0.2, 0.2, 0.5
 
 
 def luhn(digits: str) -> bool:
@@ -102,20 +133,60 @@ def proposals(text: str):
         for m in PHONE.finditer(text):
             if 8 <= len(_digits(m[0])) <= 15:
                 yield "phone", *m.span()
+    yield from (("iban", *span) for span in _iban_spans(text))
+    for m in SSN.finditer(text):
+        if m[1] not in ("000", "666") and m[1] < "900" and m[2] != "00" and m[3] != "0000":
+            yield "ssn", *m.span()
+    for kind, pattern in (("passport", PASSPORT), ("account", ACCOUNT)):
+        yield from ((kind, *m.span()) for m in pattern.finditer(text))
+    for m in SECRET.finditer(text):
+        if DIGIT.search(m[0]) and any(c.isalpha() for c in m[0]) and len(set(m[0])) >= 10:
+            yield "secret", *m.span()
+
+
+def _iban_spans(text: str):
+    """A country code and as many letters and digits as the country's IBAN has, with single
+    spaces between, if the remainder is right and no letter or digit follows."""
+    free = 0
     for m in IBAN.finditer(text):
-        if mod97(m[0]):
-            yield "iban", *m.span()
+        at, left = m.start(), COUNTRY.get(m[1], 0)
+        if not left or at < free:
+            continue
+        while at < len(text) and left:
+            if text[at] != " ":
+                if not (text[at].isascii() and (text[at].isdigit() or text[at].isupper())):
+                    break
+                left -= 1
+            elif text[at - 1] == " ":
+                break
+            at += 1
+        if not left and not text[at : at + 1].isalnum() and mod97(text[m.start() : at]):
+            yield m.start(), at
+            free = at
 
 
 def scored_spans(text: str | None) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) by kind, then start."""
-    out = []
-    for kind, start, end in proposals(text or ""):
+    out, weak, text = [], [], text or ""
+    for kind, start, end in proposals(text):
         around = text[max(0, start - REACH) : start] + "\n" + text[end : end + REACH]
-        score = min(1.0, PRIOR[kind] + BONUS * bool(NEAR[kind].search(around)))
+        score = PRIOR[kind] + BONUS * bool(NEAR[kind].search(around))
+        if kind in FAR and FAR[kind].search(around):
+            score -= MALUS
         if kind in BASE_KINDS or score >= ENOUGH:
-            out.append((kind, start, end, score))
-    return out
+            (out if PRIOR[kind] >= ENOUGH else weak).append((kind, start, end, min(1.0, max(0.0, score))))
+    taken: list[tuple[int, int]] = []  # apart from each other
+    for _, start, end, _ in sorted(out, key=lambda s: s[1]):
+        if taken and start < taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(end, taken[-1][1]))
+        else:
+            taken.append((start, end))
+    for span in sorted(weak, key=lambda s: (-PRIOR[s[0]], s[1])):
+        at = bisect.bisect(taken, span[1:3])
+        if (not at or taken[at - 1][1] <= span[1]) and (at == len(taken) or span[2] <= taken[at][0]):
+            taken.insert(at, span[1:3])
+            out.append(span)
+    return sorted(out, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
 SPANS = "array<struct<kind:string,start:long,end:long,score:double>>"
@@ -174,6 +245,3 @@ def mask_pii(docs: DataFrame) -> DataFrame:
     out = docs.mapInArrow(scan, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else out
 
-
-def brute_digest(spans: list[tuple[str, int, int, float]]) -> str:
-    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b, _ in spans if k in BASE_KINDS).encode()).hexdigest()
