@@ -1,13 +1,16 @@
 """Quality by attention-based multiple-instance learning (operator 9).
 
 A document is a bag of passages (lines, long ones cut near PASSAGE bytes). Each
-passage is encoded by a small learned layer over its byte-class statistics, gated
-attention (tanh times sigmoid) weighs the passages, and the weighted mean of their
-codes gives the logit. Only documents have labels; which passage decides is learned.
+passage is encoded by a small learned layer over its byte-class statistics and its words,
+hashed to WORDS counts; gated attention (tanh times sigmoid) weighs the passages, and the
+weighted mean of their codes gives the logit. Only documents have labels; which passage
+decides is learned.
 
 At most TRAIN_ROWS labelled rows are learned from (a bounded sample by hash of the
 id). Cases: null and empty texts are one empty passage; without training rows the
-score is 0.5; repeated rows score alike; other columns are ignored.
+score is 0.5; repeated rows (and of a repeated id each text) score by their own text; a
+text of any length is scored whole, in memory proportional to it; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,8 +34,8 @@ for _n, _g in enumerate(_GROUPS):
     _CLASS[[ord(c) for c in _g]] = _n
 _CLASS[0x30:0x3A], _CLASS[0x41:0x5B], _CLASS[0x61:0x7B] = 10, 11, 12
 _CLASS[0xC0:], _CLASS[0x80:0xC0] = 13, 14
-EXTRA = 6
-WIDTH = 16 * 16 + 16 + EXTRA
+EXTRA, WORDS = 6, 64
+WIDTH = 16 * 16 + 16 + EXTRA + WORDS
 
 
 def passages(data: np.ndarray, offsets: np.ndarray, size: int = PASSAGE) -> tuple[np.ndarray, np.ndarray]:
@@ -82,6 +85,8 @@ def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
         x[:, 273] = np.bincount(w_own, w_end - w_start, n) / np.maximum(words, 1) / 10
         x[:, 274] = twin
         x[:, 275] = np.log1p(words) / 5
+        bucket = w_own * WORDS + (hashes % U64(WORDS)).astype(np.int64)
+        x[:, 278:] = np.bincount(bucket, minlength=n * WORDS).reshape(n, WORDS) / np.maximum(words, 1)[:, None]
     x[:, 276] = np.log1p(np.bincount(rows, length, len(offsets) - 1))[rows] / 10
     x[:, 277] = 1
     return rows, x
