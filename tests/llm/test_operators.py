@@ -159,6 +159,25 @@ def test_repeats_around_a_phrase_of_many_documents(spark):
     assert got == expected
 
 
+def test_slices_of_one_passage(spark):
+    """Every document holds another slice of 50 words or more of the same passage."""
+    rng = random.Random(21)
+    passage, rows = text(200, rng).split(), []
+    for _ in range(120):
+        start = rng.randint(0, 150)
+        rows.append(" ".join([text(rng.randint(0, 30), rng), *passage[start : rng.randint(start + 50, 200)], text(rng.randint(0, 30), rng)]))
+    seen, expected = {}, {}
+    for i, t in enumerate(rows):
+        w = t.split()
+        for k in range(len(w) - 49):
+            seen.setdefault(tuple(w[k : k + 50]), set()).add(i)
+    for i, t in enumerate(rows):
+        w = t.split()
+        expected[i] = {k + j for k in range(len(w) - 49) if len(seen[tuple(w[k : k + 50])]) > 1 for j in range(50)}
+    got = {r.doc_id: {k for s in r.passages.split(",") for k in range(*map(int, s.split(":")))} for r in suffixes.repeated_passages(documents(spark, list(enumerate(rows)))).collect()}
+    assert got == {i: x for i, x in expected.items() if x}
+
+
 def test_mix_meets_targets(spark):
     rows = mixing.mix_sources(documents(spark, [(i, text(20 + i % 30)) for i in range(300)])).collect()
     for source in {r.source for r in rows}:
@@ -264,12 +283,6 @@ def test_word_hashes_depend_on_words_alone():
     assert one[1] == two[2] and one[2] == two[0] and len(set(one.tolist())) == 3
 
 
-@pytest.mark.parametrize("options", [{}, {"subtract": True}, {"cache_bits": 4}, {"cross": (9, -20, 77)}, {"palette": True}, *({"predictor": p} for p in range(14))])
-def test_webp_round_trip(options):
-    rng = np.random.default_rng(8)
-    for shape in ((1, 1), (5, 40), (23, 17)):
-        pixels = rng.choice(rng.integers(0, 2**32, 9, dtype=np.uint32), shape)
-        assert np.array_equal(webp.decode(webp.encode(pixels, **options)), pixels)
 
 
 def test_webp_payloads():
