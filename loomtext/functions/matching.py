@@ -67,6 +67,16 @@ def spans(c: Column, terms: Sequence[str]) -> Column:
 
 def least_gap(left: Column, right: Column) -> Column:
     """The fewest characters between a span of either side, 0 if two overlap; null without
-    spans on both sides."""
-    gaps = F.transform(left, lambda x: F.array_min(F.transform(right, lambda y: F.greatest(F.lit(0), F.greatest(x["start"], y["start"]) - F.least(x["end"], y["end"])))))
-    return F.array_min(gaps)
+    spans on both sides. One pass over all spans by their start: a span is nearest to the one
+    of the other side, of those begun, that ends last."""
+    side = lambda spans, name: F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(name).alias("side")))
+    none = F.lit(None).cast("int")
+    state = F.struct(none.alias("a"), none.alias("b"), none.alias("gap"))
+
+    def step(s: Column, x: Column) -> Column:
+        other = F.when(x["side"] == 0, s["b"]).otherwise(s["a"])
+        gap = F.least(s["gap"], F.when(other.isNotNull(), F.greatest(F.lit(0), x["start"] - other)))
+        end = lambda name, k: F.when(x["side"] == k, F.greatest(s[name], x["end"])).otherwise(s[name])
+        return F.struct(end("a", 0).alias("a"), end("b", 1).alias("b"), gap.alias("gap"))
+
+    return F.aggregate(F.array_sort(F.concat(side(left, 0), side(right, 1))), state, step, lambda s: s["gap"])

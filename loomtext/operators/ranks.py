@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 RANGES = 128
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson's, as an aggregate; null where a side is constant."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def _range_of(df: DataFrame, column: str, ranges: int) -> Column:
     """Which range a number falls in; nulls have the last one."""
     at = [i / ranges for i in range(1, ranges)]
@@ -60,7 +65,7 @@ def with_rank(df: DataFrame, value: str, name: str, ranges: int = RANGES) -> Dat
 
 
 def spearman(df: DataFrame, x: str, y: str, ranges: int = RANGES) -> DataFrame:
-    """rho over rows where both are known; pairs are counted before they are ranked."""
+    """rho over rows where both are known (null where one is constant); pairs are counted before they are ranked."""
     known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
     a = average_ranks(known, x, ranges).select(x, F.col("average_rank").alias("_a"))
     b = average_ranks(known, y, ranges).select(y, F.col("average_rank").alias("_b"))
@@ -69,13 +74,4 @@ def spearman(df: DataFrame, x: str, y: str, ranges: int = RANGES) -> DataFrame:
     means = pairs.agg(*weighted).select((F.col("a") / F.col("n")).alias("_ma"), (F.col("b") / F.col("n")).alias("_mb"))
     da, db = F.col("_a") - F.col("_ma"), F.col("_b") - F.col("_mb")
     moments = pairs.crossJoin(F.broadcast(means)).agg(*[F.sum(F.col("_n") * c).alias(k) for k, c in (("ab", da * db), ("aa", da * da), ("bb", db * db))])  # one row of means
-    return moments.select((F.col("ab") / F.sqrt(F.col("aa") * F.col("bb"))).alias("rho"))
-
-
-def mann_whitney_u(df: DataFrame, value: str, first: Column, ranges: int = RANGES) -> DataFrame:
-    """U of the rows where ``first`` holds; they are counted for each value."""
-    ranks = average_ranks(df, value, ranges).select(F.col(value).alias("_value"), "average_rank")
-    held = df.groupBy(value).agg(F.sum(F.when(first, 1).otherwise(0)).alias("_k"))
-    joined = held.join(ranks, F.col(value).eqNullSafe(F.col("_value")))
-    total = F.sum("_k")
-    return joined.agg((F.sum(F.col("_k") * F.col("average_rank")) - total * (total + 1) / F.lit(2.0)).alias("u"))
+    return moments.select(F.try_divide("ab", F.sqrt(F.col("aa") * F.col("bb"))).alias("rho"))

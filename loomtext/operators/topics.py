@@ -1,69 +1,375 @@
-"""Topic models on hashed-free vocabularies, and one-to-one topic matching."""
+"""Topic models over whole vocabularies, their diagnostics, and how models are compared."""
 
 from __future__ import annotations
 
-from itertools import combinations
+from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import correlation
+
 
 def tokenised(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)).alias("tokens")).where(F.size("tokens") > 0)
+    """The documents' other columns and their words, of those that have any."""
+    keep = [c for c in docs.columns if c not in ("text", "tokens")]
+    return docs.select(*keep, F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)).alias("tokens")).where(F.size("tokens") > 0)
 
 
-def fit_topics(docs: DataFrame, k: int = 8, passes: int = 6, seed: int = 42, min_df: int = 5, max_df: float = 0.85, optimizer: str = "online"):
-    """(vectoriser, model, document-term vectors)."""
-    vectors = CountVectorizer(inputCol="tokens", outputCol="features", minDF=min_df, maxDF=max_df, vocabSize=5000)
-    terms = vectors.fit(tokenised(docs))
-    rows = terms.transform(tokenised(docs))
-    model = LDA(k=k, maxIter=passes, seed=seed, optimizer=optimizer).fit(rows)
-    return terms, model, rows
+def vectorised(docs: DataFrame, min_df: float = 5, max_df: float = 0.85, max_features: int = 1 << 18):
+    """(vectoriser, docs with their term counts). ``max_features`` bounds the vocabulary, the most frequent first."""
+    tokens = tokenised(docs)
+    terms = CountVectorizer(inputCol="tokens", outputCol="features", minDF=min_df, maxDF=max_df, vocabSize=max_features).fit(tokens)
+    return terms, terms.transform(tokens)
 
 
-def fit_grid(docs: DataFrame, ks: tuple[int, ...] = (4, 8), seeds: tuple[int, ...] = (7, 42), passes: int = 3, min_df: int = 5, max_df: float = 0.85) -> DataFrame:
-    """k, seed, log_perplexity and the share of each run's top words that the run of the
-    first seed has too. Vectors are made once; the runs follow one another."""
-    terms = CountVectorizer(inputCol="tokens", outputCol="features", minDF=min_df, maxDF=max_df, vocabSize=5000).fit(tokenised(docs))
-    rows = terms.transform(tokenised(docs)).select("features").persist()
-    out = []
-    for k in ks:
-        base = None
-        for seed in seeds:
-            model = LDA(k=k, maxIter=passes, seed=seed).fit(rows)
-            top = {w for t in model.describeTopics(10).collect() for w in t.termIndices}  # 10 words for each topic
-            base = base or top
-            out.append((k, seed, float(model.logPerplexity(rows)), len(top & base) / len(top | base)))
-    rows.unpersist()
-    return docs.sparkSession.createDataFrame(out, "k int, seed int, log_perplexity double, shared_words double")
+def online_model(k: int, passes: int, seed: int, n: int, batch: int = 1024) -> LDA:
+    """Online variational Bayes over ``passes`` times all ``n`` documents, about ``batch`` at a time."""
+    steps = max(1, -(-n // batch))
+    return LDA(k=k, maxIter=passes * steps, seed=seed, optimizer="online", subsamplingRate=1 / steps)
+
+
+def fit_topics(docs: DataFrame, k: int = 12, passes: int = 12, seed: int = 42, min_df: int = 5, max_df: float = 0.85, max_features: int = 1 << 18):
+    """(vectoriser, online variational model, documents' term counts)."""
+    terms, rows = vectorised(docs, min_df, max_df, max_features)
+    return terms, online_model(k, passes, seed, rows.count()).fit(rows), rows
 
 
 def topic_words(terms, model, n: int = 10) -> DataFrame:
     """topic, rank, word, weight."""
     top = model.describeTopics(n).select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "t"))
-    names = F.array(*[F.lit(w) for w in terms.vocabulary])
-    return top.select("topic", (F.col("rank") + 1).alias("rank"), F.get(names, F.col("t.termIndices")).alias("word"), F.col("t.termWeights").alias("weight"))
+    spark = top.sparkSession
+    names = spark.createDataFrame(list(enumerate(terms.vocabulary)), "index int, word string")
+    named = top.join(names, F.col("t.termIndices") == F.col("index"))
+    return named.select("topic", (F.col("rank") + 1).alias("rank"), "word", F.col("t.termWeights").alias("weight"))
+
+
+def topic_prevalence(model, rows: DataFrame, *groups: str) -> DataFrame:
+    """Mean share in percent and number of dominated documents of each topic, overall or for
+    each group (such as a year)."""
+    mixed = model.transform(rows).select(*groups, vector_to_array("topicDistribution").alias("p"))
+    return mixture_prevalence(mixed, "p", *groups)
+
+
+def mixture_prevalence(mixed: DataFrame, p: str, *groups: str) -> DataFrame:
+    """The same from an array of shares; of equal shares the first topic dominates."""
+    shares = mixed.select(*groups, F.col(p).alias("_p"), F.posexplode(p).alias("topic", "share"))
+    dominant = (F.array_position("_p", F.array_max("_p")) - 1 == F.col("topic")).cast("long")
+    return shares.groupBy(*groups, "topic").agg((100 * F.avg("share")).alias("prevalence_pct"), F.sum(dominant).alias("dominant_documents"), F.count(F.lit(1)).alias("n_documents"))
+
+
+# --- batch variational Bayes -----------------------------------------------
+
+
+def digamma(x: np.ndarray) -> np.ndarray:
+    """By recurrence to arguments of 6 and more, then the asymptotic series."""
+    x, out = np.array(x, float), np.zeros(np.shape(x))
+    while (small := x < 6).any():
+        out[small] -= 1 / x[small]
+        x[small] += 1
+    y = 1 / (x * x)
+    return out + np.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y * (1 / 240 - y / 132))))
+
+
+def mixture(ids: np.ndarray, counts: np.ndarray, words: np.ndarray, prior: float, steps: int = 100, tolerance: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """One document's variational topic weights, and its expected counts (topics x its words)
+    over ``words``; ``words`` is exp(E[log beta])."""
+    own = words[:, ids]
+    gamma = np.ones(len(words))
+    for _ in range(steps):
+        theta = np.exp(digamma(gamma) - digamma(np.array([gamma.sum()]))[0])
+        fresh = prior + theta * (own @ (counts / (theta @ own + 1e-100)))
+        change, gamma = np.abs(fresh - gamma).mean(), fresh
+        if change < tolerance:
+            break
+    theta = np.exp(digamma(gamma) - digamma(np.array([gamma.sum()]))[0])
+    return gamma, theta[:, None] * (counts / (theta @ own + 1e-100))
+
 
+class BatchLDA:
+    """Latent Dirichlet allocation by batch variational Bayes: each iteration is one pass over
+    all documents, whose expected counts are summed by topic and word before the shuffle."""
 
-def topic_prevalence(model, rows: DataFrame) -> DataFrame:
-    """Mean share and number of dominated documents for each topic."""
-    mixed = model.transform(rows).select(vector_to_array("topicDistribution").alias("p"))
-    shares = mixed.select("p", F.posexplode("p").alias("topic", "share"))
-    dominant = (F.array_position("p", F.array_max("p")) - 1 == F.col("topic")).cast("long")
-    return shares.groupBy("topic").agg((100 * F.avg("share")).alias("prevalence_pct"), F.sum(dominant).alias("dominant_documents"))
+    def __init__(self, k: int, vocabulary: int, seed: int = 42, prior: float | None = None, word_prior: float | None = None):
+        self.k, self.prior, self.word_prior = k, prior or 1 / k, word_prior or 1 / k
+        self.components = np.random.default_rng(seed).gamma(100.0, 0.01, (k, vocabulary))
+
+    def expected(self) -> np.ndarray:
+        return np.exp(digamma(self.components) - digamma(self.components.sum(1, keepdims=True)))
+
+    def fit(self, rows: DataFrame, iterations: int = 50) -> BatchLDA:
+        """``rows`` has ids (array of term numbers) and counts."""
+        for _ in range(iterations):
+            self.components = self.step(rows)
+        return self
+
+    def step(self, rows: DataFrame) -> np.ndarray:
+        spark, prior = rows.sparkSession, self.prior
+        shared = spark.sparkContext.broadcast(self.expected())  # topics x vocabulary, both bounded
+
+        def count(batches):
+            words = shared.value
+            total = np.zeros_like(words)
+            for batch in batches:
+                for ids, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    at = np.array(ids, np.int64)
+                    total[:, at] += mixture(at, np.array(counts, float), words, prior)[1]
+            topic, word = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(topic.astype(np.int32)), pa.array(word.astype(np.int32)), pa.array(total[topic, word])], ["topic", "word", "n"])
+
+        sums = rows.select("ids", "counts").mapInArrow(count, "topic int, word int, n double").groupBy("topic", "word").agg(F.sum("n").alias("n")).toPandas()
+        shared.destroy()
+        out = np.zeros_like(self.components)
+        out[sums["topic"], sums["word"]] = sums["n"]
+        return self.word_prior + out * self.expected()
+
+    def mixtures(self, rows: DataFrame, *keep: str) -> DataFrame:
+        """``keep`` and p, the topic shares of each document."""
+        spark, prior = rows.sparkSession, self.prior
+        shared = spark.sparkContext.broadcast(self.expected())
+
+        def mix(batches):
+            for batch in batches:
+                out = []
+                for ids, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    gamma = mixture(np.array(ids, np.int64), np.array(counts, float), shared.value, prior)[0]
+                    out.append(gamma / gamma.sum())
+                yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array([list(p) for p in out], pa.list_(pa.float64()))], [*keep, "p"])
+
+        kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
+        return rows.select("ids", "counts", *keep).mapInArrow(mix, f"{kinds + ', ' if kinds else ''}p array<double>")
+
+
+def term_arrays(docs: DataFrame, min_df: float = 5, max_df: float = 0.85, max_features: int = 1 << 18) -> tuple[list[str], DataFrame]:
+    """The vocabulary (in order; ``max_features`` at most, the most frequent) and the documents'
+    other columns with ids and counts of their terms; documents without a term are left out.
+    Bounds below 1 are shares of the documents."""
+    tokens = tokenised(docs)
+    counted = tokens.select("doc_id", F.explode("tokens").alias("word")).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("tf"))
+    n = tokens.count()
+    low, high = (x if x >= 1 and not isinstance(x, float) else x * n for x in (min_df, max_df))
+    found = counted.groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).where(F.col("df").between(low, high))
+    words = sorted(r.word for r in found.orderBy(F.desc("total"), "word").limit(max_features).collect())
+    table = F.broadcast(docs.sparkSession.createDataFrame(list(enumerate(words)), "i int, word string"))
+    rows = counted.join(table, "word").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "tf"))).alias("t"))  # one text's terms
+    return words, tokens.drop("tokens").join(rows, "doc_id").withColumn("ids", F.col("t.i")).withColumn("counts", F.col("t.tf")).drop("t")
+
+
+# --- comparing models ------------------------------------------------------
 
 
 def best_assignment(cost: list[list[float]]) -> list[int]:
-    """For each row a column of its own, at least total cost (rows <= columns <= 20):
-    dynamic programming over sets of columns."""
-    n, m = len(cost), len(cost[0])
-    best = {(): (0.0, [])}
-    for i in range(n):
-        best = {
-            chosen: min(((best[rest][0] + cost[i][c], [*best[rest][1], c]) for c in chosen if (rest := tuple(x for x in chosen if x != c)) in best), key=lambda t: t[0])
-            for chosen in combinations(range(m), i + 1)
-        }
-    return min(best.values(), key=lambda t: t[0])[1]
+    """For each row a column of its own at least total cost, by shortest augmenting paths: the
+    work grows with the cube of the size. With fewer columns than rows, -1 for rows left over."""
+    n, m = len(cost), len(cost[0]) if cost else 0
+    if n > m:
+        turned = best_assignment([list(c) for c in zip(*cost, strict=True)])
+        return [turned.index(i) if i in turned else -1 for i in range(n)]
+    row_price, column_price, owner = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1)
+    for row in range(1, n + 1):
+        owner[0], at = row, 0
+        least, came, done = [float("inf")] * (m + 1), [0] * (m + 1), [False] * (m + 1)
+        while owner[at]:
+            done[at], here, delta, next_ = True, owner[at], float("inf"), 0
+            for j in range(1, m + 1):
+                if not done[j]:
+                    reduced = cost[here - 1][j - 1] - row_price[here] - column_price[j]
+                    if reduced < least[j]:
+                        least[j], came[j] = reduced, at
+                    if least[j] < delta:
+                        delta, next_ = least[j], j
+            for j in range(m + 1):
+                if done[j]:
+                    row_price[owner[j]] += delta
+                    column_price[j] -= delta
+                else:
+                    least[j] -= delta
+            at = next_
+        while at:
+            owner[at], at = owner[came[at]], came[at]
+    out = [-1] * n
+    for j in range(1, m + 1):
+        if owner[j]:
+            out[owner[j] - 1] = j - 1
+    return out
+
+
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    return unit(a) @ unit(b).T
+
+
+def top_words(components: np.ndarray, n: int) -> list[list[int]]:
+    """The n heaviest words of each topic, the later one first where weights are equal."""
+    return np.argsort(components, axis=1, kind="stable")[:, ::-1][:, :n].tolist()
+
+
+def _jaccard(a: list[int], b: list[int]) -> float:
+    return len({*a} & {*b}) / max(len({*a} | {*b}), 1)
+
+
+def matched_topics(reference: np.ndarray, other: np.ndarray, n: int = 15) -> list[tuple[int, int, float, float]]:
+    """(reference topic, matched topic, cosine, Jaccard of the top words), one to one, topics from 1."""
+    similar, mine, theirs = cosines(reference, other), top_words(reference, n), top_words(other, n)
+    pairs = enumerate(best_assignment((-similar).tolist()))
+    return [(i + 1, j + 1, float(similar[i, j]), _jaccard(mine[i], theirs[j])) for i, j in pairs if j >= 0]
+
+
+def nearest_topics(reference: np.ndarray, other: np.ndarray, n: int = 10) -> list[tuple[int, int, float, int, float, int]]:
+    """(reference topic, its most similar topic, cosine, shared top words, their Jaccard, how many
+    reference topics have that same nearest one), topics from 1."""
+    similar, mine, theirs = cosines(reference, other), top_words(reference, n), top_words(other, n)
+    best = similar.argmax(1)
+    return [(i + 1, int(j) + 1, float(similar[i, j]), len({*mine[i]} & {*theirs[j]}), _jaccard(mine[i], theirs[j]), int((best == j).sum())) for i, j in enumerate(best)]
+
+
+def diversity(components: np.ndarray, n: int = 15) -> float:
+    return len({w for t in top_words(components, n) for w in t}) / (len(components) * n)
+
+
+def npmi(lists: DataFrame, docs: DataFrame) -> DataFrame:
+    """topic, npmi: the mean over the pairs of each topic's words (topic, word) of their
+    normalised pointwise information over documents (doc_id, tokens). A pair that never meets
+    has -1, one in every document 1; a word that no document holds takes no part as the later
+    of a pair. Documents are read once; only listed words leave them."""
+    words = lists.select("topic", "rank", "word")
+    wanted = words.select("word").distinct()
+    held = docs.select("doc_id", F.explode(F.array_distinct("tokens")).alias("word")).join(F.broadcast(wanted), "word").groupBy("doc_id").agg(F.collect_set("word").alias("own"))
+    pairs_of = F.explode(F.flatten(F.transform("own", lambda a: F.transform(F.filter("own", lambda b: b >= a), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p")
+    counts = held.select(pairs_of).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    single = counts.where("a = b").select(F.col("a").alias("w"), F.col("n").alias("k"))
+    total = docs.agg(F.count(F.lit(1)).cast("double").alias("total"))
+    x, y = words.alias("x"), words.alias("y")
+    pairs = x.join(y, (F.col("x.topic") == F.col("y.topic")) & (F.col("x.rank") > F.col("y.rank"))).select("x.topic", F.col("x.word").alias("i"), F.col("y.word").alias("j"))
+    known = pairs.join(single.select(F.col("w").alias("i"), F.col("k").alias("ki")), "i").join(single.select(F.col("w").alias("j"), F.col("k").alias("kj")), "j", "left")
+    met = known.join(counts, (F.least("i", "j") == F.col("a")) & (F.greatest("i", "j") == F.col("b")), "left").crossJoin(F.broadcast(total))  # one row
+    value = F.when(F.col("n").isNull(), -1.0).when(F.col("n") == F.col("total"), 1.0).otherwise(F.log(F.col("n") * F.col("total") / (F.col("ki") * F.col("kj"))) / -F.log(F.col("n") / F.col("total")))
+    found = met.groupBy("topic").agg(F.avg(value).alias("npmi"))
+    return lists.select("topic").distinct().join(found, "topic", "left")
+
+
+def window_types(docs: DataFrame, size: int = 110) -> DataFrame:
+    """doc_id, n_windows and n_types: the distinct words of every window of ``size`` words,
+    summed. A word adds one to each window whose first occurrence of it this is, so a window
+    function over the word's own places counts them, without the windows."""
+    places = tokenised(docs.select("doc_id", "text")).select("doc_id", F.size("tokens").alias("n"), F.posexplode("tokens").alias("at", "word"))
+    before = F.lag("at").over(Window.partitionBy("doc_id", "word").orderBy("at"))
+    last = F.greatest(F.lit(0), F.col("n") - size)
+    first = F.greatest(F.lit(0), F.col("at") - size + 1, F.coalesce(before + 1, F.lit(0)))
+    counted = places.select("doc_id", "n", F.greatest(F.lit(0), F.least("at", last) - first + 1).cast("long").alias("k"))
+    sums = counted.groupBy("doc_id").agg((F.greatest(F.lit(0), F.max("n") - size) + 1).cast("long").alias("n_windows"), F.sum("k").alias("n_types"))
+    every = docs.select("doc_id").join(sums, "doc_id", "left")
+    return every.select("doc_id", F.coalesce("n_windows", F.lit(1)).cast("long").alias("n_windows"), F.coalesce("n_types", F.lit(0)).cast("long").alias("n_types"))
+
+
+def window_coherence(lists: DataFrame, docs: DataFrame, size: int = 110) -> DataFrame:
+    """topic, c_v: for each word of a topic (topic, word) its information with each of the
+    topic's words, over windows of ``size`` words; the mean cosine of these vectors with their
+    sum. Only listed words and the number of windows leave a document."""
+    words = [r.word for r in lists.select("word").distinct().orderBy("word").collect()]  # the lists
+    place, parts = {w: i for i, w in enumerate(words)}, docs.sparkSession.sparkContext.broadcast(words)
+
+    def count(batches):
+        own = {w: i for i, w in enumerate(parts.value)}
+        both, windows = np.zeros((len(own), len(own))), 0
+        for batch in batches:
+            for tokens in batch.column(0).to_pylist():
+                n = max(1, len(tokens) - size + 1)
+                windows += n
+                change: dict[int, np.ndarray] = {}
+                for at, word in enumerate(tokens):
+                    i = own.get(word)
+                    if i is not None:
+                        steps = change.setdefault(i, np.zeros(n + 1, np.int32))
+                        steps[max(0, at - size + 1)] += 1
+                        steps[min(at, n - 1) + 1] -= 1
+                ids = list(change)
+                held = np.array([np.cumsum(change[i][:n]) > 0 for i in ids], np.float32).reshape(len(ids), n)
+                both[np.ix_(ids, ids)] += held @ held.T
+        a, b = np.nonzero(both)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(a, -1).astype(np.int32)), pa.array(np.append(b, -1).astype(np.int32)), pa.array(np.append(both[a, b], windows))], ["a", "b", "n"])
+
+    found = docs.select("tokens").mapInArrow(count, "a int, b int, n double").groupBy("a", "b").agg(F.sum("n").alias("n")).toPandas()  # pairs of listed words
+    total = float(found.loc[found["a"] < 0, "n"].sum())
+    p = np.zeros((len(words), len(words)))
+    known = found[found["a"] >= 0]
+    p[known["a"], known["b"]] = known["n"] / total if total else 0
+    out = []
+    for topic, own in lists.groupBy("topic").agg(F.collect_list("word")).collect():
+        at = [place[w] for w in own if p[place[w], place[w]] > 0]
+        if at:
+            joint, single = p[np.ix_(at, at)], p[at, at]
+            m = np.log((joint + 1e-12) / np.outer(single, single)) / -np.log(joint + 1e-12)
+            whole = m.sum(0)
+            out.append((topic, float(np.mean(m @ whole / (np.linalg.norm(m, axis=1) * np.linalg.norm(whole))))))
+    return docs.sparkSession.createDataFrame(out, f"topic {lists.schema['topic'].dataType.simpleString()}, c_v double")
+
+
+def exclusivity(weights: DataFrame, topic: str, word: str, weight: str, n: int = 10) -> DataFrame:
+    """The mean, over a topic's n heaviest words, of the topic's share of the word's weights (each
+    topic's weights made to sum to one)."""
+    sums = weights.groupBy(topic).agg(F.sum(weight).alias("_all"))
+    beta = weights.join(F.broadcast(sums), topic).select(topic, word, (F.col(weight) / F.col("_all")).alias("_beta"))  # one row a topic
+    listed = beta.withColumn("_r", F.row_number().over(Window.partitionBy(topic).orderBy(F.desc("_beta"), word))).where(F.col("_r") <= n)
+    total = beta.join(F.broadcast(listed.select(word).distinct()), word).groupBy(word).agg(F.sum("_beta").alias("_sum"))
+    return listed.join(F.broadcast(total), word).groupBy(topic).agg(F.avg(F.col("_beta") / F.col("_sum")).alias("exclusivity"))
+
+
+def yearly_correlation(reference: DataFrame, other: DataFrame, matches: list[tuple[int, int]]) -> DataFrame:
+    """reference_topic, other_topic, rho: the rank correlation of two topics' shares (year, topic,
+    prevalence_pct, topics from 0) over the years that both have; null for fewer than three."""
+    spark = reference.sparkSession
+    pairs = F.broadcast(spark.createDataFrame([(int(a), int(b)) for a, b in matches], "reference_topic int, other_topic int"))
+    a = reference.select("year", (F.col("topic") + 1).alias("reference_topic"), F.col("prevalence_pct").alias("x")).join(pairs, "reference_topic")
+    joined = a.join(other.select("year", (F.col("topic") + 1).alias("other_topic"), F.col("prevalence_pct").alias("y")), ["year", "other_topic"])
+    w = Window.partitionBy("reference_topic", "other_topic")  # a pair's years
+    rank = lambda c: F.rank().over(w.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy("reference_topic", "other_topic", c)) - 1) / 2
+    ranked = joined.withColumn("rx", rank("x")).withColumn("ry", rank("y")).groupBy("reference_topic", "other_topic")
+    return ranked.agg(F.when(F.count(F.lit(1)) >= 3, correlation("rx", "ry")).alias("rho"))
+
+
+def reconstruction_errors(saved: DataFrame, computed: DataFrame, words: int = 10, weight: float = 6e-5, prevalence: float = 0.0051) -> DataFrame:
+    """topic, rank and what is wrong: another word among the first ``words``, or a weight or a
+    prevalence (percentage points) off by more than rounding. No row means the model is the saved one.
+
+    Both: topic, rank, word, weight_pct, prevalence_pct."""
+    a, b = saved.where(F.col("rank") <= words).alias("a"), computed.where(F.col("rank") <= words).alias("b")
+    both = a.join(b, (F.col("a.topic") == F.col("b.topic")) & (F.col("a.rank") == F.col("b.rank")), "full")
+    off = lambda c, most: F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) > most
+    wrong = (
+        F.when(~F.col("a.word").eqNullSafe(F.col("b.word")), "word")
+        .when(F.coalesce(off("weight_pct", weight), F.lit(True)), "weight")
+        .when(F.coalesce(off("prevalence_pct", prevalence), F.lit(True)), "prevalence")
+    )
+    return both.select(F.coalesce("a.topic", "b.topic").alias("topic"), F.coalesce("a.rank", "b.rank").alias("rank"), wrong.alias("wrong")).where("wrong IS NOT NULL")
+
+
+def fit_grid(docs: DataFrame, ks: tuple[int, ...] = (10, 15, 20, 25), seeds: tuple[int, ...] = (21, 42, 123, 2025, 2026), base_k: int = 15, base_seed: int = 42, passes: int = 30, top: int = 15, workers: int = 4, **vectors) -> DataFrame:
+    """Every k with the base seed and every seed with the base k, the shared run once: k, seed,
+    log_perplexity, diversity, and of the base run's topics matched with the run's their mean
+    and least cosine and mean Jaccard. Runs are submitted ``workers`` at a time."""
+    terms, rows = vectorised(docs, **vectors)
+    rows = rows.select("features").persist(StorageLevel.DISK_ONLY)
+    n = rows.count()
+
+    def run(task: tuple[int, int]):
+        k, seed = task
+        model = online_model(k, passes, seed, n).fit(rows)
+        return task, model.topicsMatrix().toArray().T, float(model.logPerplexity(rows))
+
+    tasks = sorted({(k, base_seed) for k in ks} | {(base_k, s) for s in seeds})
+    with ThreadPoolExecutor(workers) as pool:
+        found = {task: (matrix, score) for task, matrix, score in pool.map(run, tasks)}
+    rows.unpersist()
+    out, base = [], found[base_k, base_seed][0]
+    for (k, seed), (matrix, score) in found.items():
+        pairs = matched_topics(base, matrix, top)
+        similar, shared = [p[2] for p in pairs], [p[3] for p in pairs]
+        out.append((k, seed, score, diversity(matrix, top), float(np.mean(similar)), float(min(similar)), float(np.mean(shared))))
+    return docs.sparkSession.createDataFrame(out, "k int, seed int, log_perplexity double, diversity double, mean_cosine double, least_cosine double, mean_jaccard double")

@@ -45,7 +45,6 @@ simple("null_to_blank", "SELECT d.doc_id, trim(coalesce(CAST(l.quality AS STRING
 simple("year_prefix", "SELECT o_orderkey, substring(CAST(o_orderdate AS STRING), 1, 4) AS order_year FROM @orders")
 simple("polarity_score", "SELECT doc_id, quality - toxic AS polarity FROM @labels")
 simple("threshold_category", "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice < 100000 THEN 'low' ELSE 'middle' END AS band FROM @orders")
-simple("label_normalize", "SELECT doc_id, CASE WHEN CAST(quality AS STRING) IN ('1', '1.0', '+1') THEN 1 WHEN CAST(quality AS STRING) IN ('0', '0.0') THEN 0 END AS label FROM @labels")
 simple("map_labels", "SELECT doc_id, CASE lang WHEN 'en' THEN 'English' WHEN 'de' THEN 'German' WHEN 'fr' THEN 'French' ELSE lang END AS language FROM @documents")
 simple("compose_url", "SELECT doc_id, 'https://example.org/' || source || '/' || CAST(doc_id AS STRING) || '?lang=' || lang AS url FROM @documents")
 simple("row_ids", "SELECT doc_id, CAST(row_number() OVER (ORDER BY source, doc_id) - 1 AS BIGINT) AS row_id FROM @documents")
@@ -59,7 +58,6 @@ simple("filter_in", "SELECT doc_id, lang FROM @documents WHERE lang IN ('en', 'f
 simple("filter_nonempty", "SELECT doc_id FROM @documents WHERE length(trim(text)) > 0")
 simple("drop_nulls", "SELECT d.doc_id, l.quality FROM @documents d LEFT JOIN @labels l ON d.doc_id = l.doc_id WHERE l.quality IS NOT NULL")
 simple("exclude_ids", "SELECT d.doc_id FROM @documents d LEFT ANTI JOIN (SELECT doc_id FROM @labels WHERE quality = 0) x ON d.doc_id = x.doc_id".replace("LEFT ANTI JOIN", "ANTI JOIN"))
-simple("quality_gate", "SELECT doc_id, CASE WHEN source IS NULL OR source = '' THEN 'missing source' WHEN lang IS NULL OR lang = '' THEN 'missing language' WHEN text IS NULL OR text = '' THEN 'missing text' WHEN length(text) < 50 THEN 'short' ELSE 'valid' END AS data_quality FROM @documents")
 simple("having_min_count", "SELECT source, count(*) AS n FROM @documents GROUP BY source HAVING count(*) >= 40")
 simple("exclude_month", "SELECT o_orderkey FROM @orders WHERE NOT (year(o_orderdate) = 1995 AND month(o_orderdate) = 3)")
 simple("limit_n", "SELECT doc_id FROM @documents ORDER BY doc_id LIMIT 25")
@@ -71,7 +69,6 @@ simple("join_dedup_match_rate", "SELECT count(*) AS n, avg(CASE WHEN l.doc_id IS
 simple("join_inner", "SELECT e.vec_id, e.label, l.quality FROM @embeddings e JOIN @labels l ON e.vec_id = l.doc_id")
 simple("join_many_to_one", "SELECT o.o_orderkey, c.c_name FROM @orders o LEFT JOIN @customer c ON o.o_custkey = c.c_custkey")
 simple("join_one_to_one", "SELECT d.doc_id, d.lang, l.toxic FROM @documents d LEFT JOIN @labels l ON d.doc_id = l.doc_id")
-simple("pending_candidates", "SELECT d.doc_id, d.source FROM @documents d LEFT JOIN @labels l ON d.doc_id = l.doc_id WHERE l.doc_id IS NULL OR l.quality = 0")
 simple("anti_join_completed", "SELECT d.doc_id FROM @documents d ANTI JOIN @labels l ON d.doc_id = l.doc_id")
 simple("task_grid", "SELECT a.lang, b.source FROM (SELECT DISTINCT lang FROM @documents) a CROSS JOIN (SELECT DISTINCT source FROM @documents) b")
 simple("profile_intersection", f"SELECT a.source, a.year, a.n AS n_a, b.n AS n_b FROM (SELECT source, {YEAR} AS year, count(*) AS n FROM @documents WHERE lang = 'en' GROUP BY 1, 2) a JOIN (SELECT source, {YEAR} AS year, count(*) AS n FROM @documents WHERE lang <> 'en' GROUP BY 1, 2) b ON a.source = b.source AND a.year = b.year")
@@ -85,11 +82,8 @@ simple("group_means", "SELECT source, avg(CAST(n_chars AS DOUBLE)) AS mean_chars
 simple("mean_ci95", "SELECT source, count(*) AS n, avg(CAST(n_chars AS DOUBLE)) AS mean, CASE WHEN count(*) < 2 THEN NULL ELSE 1.96 * stddev_samp(CAST(n_chars AS DOUBLE)) / sqrt(CAST(count(*) AS DOUBLE)) END AS ci FROM @documents GROUP BY source")
 simple("descriptives", "SELECT lang, count(*) AS n, avg(CAST(n_chars AS DOUBLE)) AS mean, median(CAST(n_chars AS DOUBLE)) AS median, stddev_samp(CAST(n_chars AS DOUBLE)) AS sd, stddev_pop(CAST(n_chars AS DOUBLE)) AS sd_pop, min(n_chars) AS low, max(n_chars) AS high, avg(CASE WHEN n_chars > 2000 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS share_long FROM @documents GROUP BY lang")
 simple("distinct_count", "SELECT source, count(DISTINCT lang) AS n_lang FROM @documents GROUP BY source")
-simple("dup_group_size", "SELECT doc_id, count(*) OVER (PARTITION BY text) AS duplicate_group_size FROM @documents")
-simple("share_of_total", "SELECT source, lang, n, CAST(n AS DOUBLE) / sum(n) OVER () AS share, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY source) AS row_share FROM (SELECT source, lang, count(*) AS n FROM @documents GROUP BY source, lang) g")
 simple("flag_rate", "SELECT d.source, avg(CAST(l.toxic AS DOUBLE)) AS rate FROM @documents d JOIN @labels l ON d.doc_id = l.doc_id GROUP BY d.source")
 simple("crosstab", "SELECT quality, CAST(sum(CASE WHEN toxic = 0 THEN 1 ELSE 0 END) AS BIGINT) AS toxic_0, CAST(sum(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS BIGINT) AS toxic_1 FROM @labels GROUP BY quality")
-simple("pivot_grid", "SELECT s.source, l.lang, coalesce(g.n, 0) AS n FROM (SELECT DISTINCT source FROM @documents) s CROSS JOIN (SELECT DISTINCT lang FROM @documents) l LEFT JOIN (SELECT source, lang, count(*) AS n FROM @documents GROUP BY source, lang) g ON g.source = s.source AND g.lang = l.lang")
 simple("gap_by_year", f"SELECT {YEAR} AS year, avg(CASE WHEN lang = 'en' THEN CAST(n_chars AS DOUBLE) END) - avg(CASE WHEN lang <> 'en' THEN CAST(n_chars AS DOUBLE) END) AS gap FROM @documents GROUP BY {YEAR}")
 simple("mean_abs_change", "SELECT avg(abs(CAST(quality AS DOUBLE) - toxic)) AS mean_abs_change FROM @labels")
 simple("label_audit", "SELECT 'rows' AS item, count(*) AS value FROM @labels UNION ALL SELECT 'quality', count(*) FROM @labels WHERE quality = 1 UNION ALL SELECT 'toxic', count(*) FROM @labels WHERE toxic = 1")
@@ -97,18 +91,12 @@ simple("dup_groups", "SELECT source, min(doc_id) AS first_id, count(*) AS n FROM
 simple("majority_baseline", "SELECT greatest(avg(CAST(toxic AS DOUBLE)), 1 - avg(CAST(toxic AS DOUBLE))) AS baseline FROM @labels")
 simple("variant_spread", "SELECT source, max(m) - min(m) AS spread, min(m) > 0 AS all_positive FROM (SELECT source, lang, avg(CAST(n_chars AS DOUBLE)) AS m FROM @documents GROUP BY source, lang) g GROUP BY source")
 simple("stability_summary", "SELECT lang, min(m) AS low, avg(m) AS mean, median(m) AS median FROM (SELECT source, lang, avg(CAST(n_chars AS DOUBLE)) AS m FROM @documents GROUP BY source, lang) g GROUP BY lang")
-simple("split_outputs", "SELECT CASE WHEN l.doc_id IS NULL THEN 'review' WHEN l.quality = 1 THEN 'kept' ELSE 'removed' END AS split, count(*) AS n FROM @documents d LEFT JOIN @labels l ON d.doc_id = l.doc_id GROUP BY 1")
 
 # Windows, ranking, duplicates
-simple("dedup_keep_earliest", "SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY text ORDER BY source ASC NULLS LAST, doc_id) AS r FROM @documents) x WHERE r = 1")
-simple("dedup_audit", "SELECT doc_id, kept_id, kept_source FROM (SELECT doc_id, first_value(doc_id) OVER w AS kept_id, first_value(source) OVER w AS kept_source FROM @documents WINDOW w AS (PARTITION BY text ORDER BY source ASC NULLS LAST, doc_id)) x WHERE doc_id <> kept_id")
-simple("same_source_dup", "SELECT doc_id, text <> '' AND count(*) OVER (PARTITION BY source, text) > 1 AS same_source_duplicate FROM @documents")
-simple("cross_source_reprint", "SELECT doc_id, text <> '' AND min(source) OVER w <> max(source) OVER w AS cross_source_reprint FROM @documents WINDOW w AS (PARTITION BY text)")
 simple("top_docs_per_topic", "SELECT source, doc_id, r AS rank FROM (SELECT source, doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS BIGINT) AS r FROM @documents) x WHERE r <= 5")
 simple("avg_rank", "SELECT p_partkey, rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2.0 AS average_rank FROM @part".replace("/ 2.0", "* CAST(0.5 AS DOUBLE)"))
 simple("prefix_running_min", f"SELECT event_id, earliest IS NULL OR ts < earliest AS accepted FROM (SELECT event_id, ts, min(ts) OVER (PARTITION BY user_id ORDER BY {ARRIVAL} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earliest FROM @events) x")
 simple("stratum_quota", f"SELECT event_id, event_type FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY {ARRIVAL}) AS r FROM @events) x WHERE r <= 50")
-simple("zero_streak", f"SELECT event_type, max(n) AS longest FROM (SELECT event_type, g, count(*) AS n FROM (SELECT event_type, low, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - row_number() OVER (PARTITION BY event_type, low ORDER BY event_id) AS g FROM (SELECT event_id, event_type, value < 20 AS low FROM @events) a) b WHERE low GROUP BY event_type, g) c GROUP BY event_type")
 simple("zscore_global", "SELECT doc_id, (n_chars - m) / (s + 1e-9) AS z FROM @documents CROSS JOIN (SELECT avg(CAST(n_chars AS DOUBLE)) AS m, stddev_samp(CAST(n_chars AS DOUBLE)) AS s FROM @documents) t")
 simple("drop_duplicates_keyed", "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM @documents) x WHERE r = 1")
 simple("sort_nulls_last", "SELECT d.doc_id, l.quality FROM @documents d LEFT JOIN @labels l ON d.doc_id = l.doc_id ORDER BY l.quality ASC NULLS LAST, d.doc_id")
@@ -126,12 +114,8 @@ simple("lexicon_algebra", "(SELECT DISTINCT source FROM @documents WHERE lang =
 
 # Agreement and rank statistics
 simple("cohen_kappa", "SELECT (po - pe) / (1 - pe) AS kappa FROM (SELECT avg(CASE WHEN quality = toxic THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS po, avg(CAST(quality AS DOUBLE)) * avg(CAST(toxic AS DOUBLE)) + (1 - avg(CAST(quality AS DOUBLE))) * (1 - avg(CAST(toxic AS DOUBLE))) AS pe FROM @labels) x")
-simple("macro_f1", "SELECT avg(CASE WHEN tp + fp + fn = 0 THEN 0.0 ELSE CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) END) AS macro_f1 FROM (SELECT c.k, sum(CASE WHEN quality = k AND toxic = k THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN quality <> k AND toxic = k THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN quality = k AND toxic <> k THEN 1 ELSE 0 END) AS fn FROM @labels CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1) c GROUP BY c.k) x")
-simple("error_direction", "SELECT toxic AS human, quality AS model, count(*) AS n FROM @labels WHERE quality <> toxic GROUP BY toxic, quality")
 simple("spearman", "SELECT corr(a, b) AS rho FROM (SELECT rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) * CAST(0.5 AS DOUBLE) AS a, rank() OVER (ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_retailprice) - 1) * CAST(0.5 AS DOUBLE) AS b FROM @part) x")
-simple("mann_whitney_u", "SELECT sum(CASE WHEN en THEN r ELSE 0 END) - n1 * (n1 + 1) / CAST(2 AS DOUBLE) AS u FROM (SELECT lang = 'en' AS en, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) * CAST(0.5 AS DOUBLE) AS r FROM @documents) x CROSS JOIN (SELECT count(*) AS n1 FROM @documents WHERE lang = 'en') n GROUP BY n1")
 simple("sign_stability", "SELECT source, a, b, sign(a) = sign(b) AS same_sign FROM (SELECT source, avg(CAST(n_chars AS DOUBLE)) - 2000 AS a, median(CAST(n_chars AS DOUBLE)) - 2000 AS b FROM @documents GROUP BY source) x")
-simple("robustness_verdict", "SELECT source, share, CASE WHEN share >= 0.75 THEN 'PASS' WHEN share >= 0.5 THEN 'PARTIAL' ELSE 'FAIL' END AS verdict FROM (SELECT source, avg(CASE WHEN lang = 'en' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS share FROM @documents GROUP BY source) x")
 
 
 @plan("length_summary")
@@ -140,16 +124,6 @@ def _(d):
     return f"SELECT source, count(*) AS n, avg(CAST(n_chars AS DOUBLE)) AS mean, {q(0.5)} AS median, min(n_chars) AS low, {q(0.25)} AS q1, {q(0.75)} AS q3, max(n_chars) AS high FROM {d.t('documents')} GROUP BY source"
 
 
-@plan("tukey_stats")
-def _(d):
-    docs = d.t("documents")
-    return f"""WITH q AS (SELECT source, {d.quantile('CAST(n_chars AS DOUBLE)', 0.25)} AS q1, {d.quantile('CAST(n_chars AS DOUBLE)', 0.75)} AS q3 FROM {docs} GROUP BY source)
-    SELECT x.source, q1, q3, min(CASE WHEN inside THEN n_chars END) AS whisker_low, max(CASE WHEN inside THEN n_chars END) AS whisker_high,
-           CAST(sum(CASE WHEN inside THEN 0 ELSE 1 END) AS BIGINT) AS outliers
-    FROM (SELECT d.source, q1, q3, n_chars, n_chars >= q1 - 1.5 * (q3 - q1) AND n_chars <= q3 + 1.5 * (q3 - q1) AS inside FROM {docs} d JOIN q ON d.source = q.source) x
-    GROUP BY x.source, q1, q3"""
-
-
 @plan("year_regex")
 def _(d):
     return f"SELECT page_id, coalesce(nullif({d.first('url', '20[0-9][0-9]')}, ''), substring('2024-01-01', 1, 4)) AS year FROM {d.t('pages')}"
@@ -160,129 +134,31 @@ def _(d):
     return f"SELECT page_id, coalesce(nullif({d.first('url', '20[0-9][0-9]')}, ''), nullif({d.first('html', '20[0-9][0-9]')}, ''), '') AS year FROM {d.t('pages')}"
 
 
-@plan("filter_regex_terms")
-def _(d):
-    return f"SELECT doc_id FROM {d.t('documents')} WHERE {d.has('text', 'License|token')}"
-
-
 @plan("manual_review")
 def _(d):
     return f"SELECT doc_id FROM {d.t('documents')} WHERE length(text) < 100 OR {d.has('text', '[|]')}"
 
 
-@plan("script_ratio")
-def _(d):
-    accented, plain = d.size(d.all_of("text", "[À-ÿ]")), d.size(d.all_of("text", "[A-Za-z]"))
-    return f"SELECT doc_id, CAST({accented} AS DOUBLE) / greatest({accented} + {plain}, 1) AS ratio FROM {d.t('documents')}"
-
-
-@plan("script_only")
-def _(d):
-    return f"SELECT doc_id, {d.sub('text', '[^A-Za-z]', '')} AS latin FROM {d.t('documents')}"
-
-
-@plan("clean_text")
-def _(d):
-    x = d.sub(d.sub(d.sub("text", r"https?://[^ ]+", " "), "<[^>]+>", " "), "[^A-Za-zÀ-ÿ0-9]+", " ")
-    return f"SELECT doc_id, trim({x}) AS cleaned FROM {d.t('documents')}"
-
-
-@plan("clean_html")
-def _(d):
-    x = d.sub("html", r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
-    x = d.sub(d.sub(d.sub(x, "<[^>]+>", " "), r"https?://[^ ]+", " "), r"[ \t\r\n]+", " ")
-    return f"SELECT page_id, trim(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS cleaned FROM {d.t('pages')}"
-
-
-@plan("dedup_key")
-def _(d):
-    return f"SELECT doc_id, lower({d.sub('text', r'[ \t\r\n.,;:!?|]+', '')}) AS dedup_key FROM {d.t('documents')}"
-
-
-@plan("remove_footer")
-def _(d):
-    x = d.sub("text", r"(?m)^(Licensed|Released) under [^\n]*$", "")
-    return f"SELECT doc_id, trim({x}) AS body FROM {d.t('documents')}"
-
-
-@plan("clean_post_variants")
-def _(d):
-    keep = d.sub(d.sub("text", "[#]+", "#"), r"[ \t\r\n]+", " ")
-    return f"SELECT doc_id, trim({keep}) AS with_hash, trim(replace({keep}, '#', '')) AS without_hash FROM {d.t('documents')}"
-
-
-@plan("unique_hits")
-def _(d):
-    parts = " || ".join(f"CASE WHEN strpos(text, '{w}') > 0 THEN '{w};' ELSE '' END" for w in ("License", "token", "The and"))
-    return f"SELECT doc_id, {parts} AS hits FROM {d.t('documents')}".replace("strpos(text, ", "instr(text, ")
-
-
-@plan("reason_concat")
-def _(d):
-    return f"SELECT doc_id, concat_ws('; ', CASE WHEN length(text) < 100 THEN 'short' END, CASE WHEN instr(text, '|') > 0 THEN 'table' END, CASE WHEN instr(text, '***') > 0 THEN 'symbols' END) AS reasons FROM {d.t('documents')}"
-
-
-@plan("cleaning_reasons")
-def _(d):
-    return f"SELECT doc_id, CASE WHEN trim(text) = '' THEN 'blank' WHEN instr(text, '***') > 0 THEN 'symbols' WHEN {d.has('text', '^[A-Z !.,]+$')} THEN 'capitals' WHEN instr(text, ' | ') > 0 THEN 'table' ELSE 'none' END AS removal_reason FROM {d.t('documents')}"
-
-
-@plan("weighted_hits")
-def _(d):
-    return f"SELECT doc_id, CAST({_hits('text', POS)} AS DOUBLE) AS positive, CAST({_hits('text', NEG)} AS DOUBLE) AS negative FROM {d.t('documents')}"
-
-
 @plan("seed_polarity")
 def _(d):
     return f"SELECT doc_id, (p - n) / (p + n + 1) AS polarity FROM (SELECT doc_id, CAST({_hits('text', POS)} AS DOUBLE) AS p, CAST({_hits('text', NEG)} AS DOUBLE) AS n FROM {d.t('documents')}) x"
 
 
-@plan("dict_attitude")
-def _(d):
-    tanh = lambda x: f"(2 / (1 + exp(-2 * {x})) - 1)"
-    return f"SELECT doc_id, {tanh('((p - n) / 50)')} / (1 + 0.35 * o) AS attitude FROM (SELECT doc_id, CAST({_hits('text', POS)} AS DOUBLE) AS p, CAST({_hits('text', NEG)} AS DOUBLE) AS n, CAST({_hits('text', ('License',))} AS DOUBLE) AS o FROM {d.t('documents')}) x".replace("0.35", "CAST(0.35 AS DOUBLE)")
-
-
 @plan("tokenize")
 def _(d):
     return f"SELECT doc_id, {d.text(d.letters(), ' ')} AS tokens, CAST({d.size(d.letters())} AS BIGINT) AS token_count FROM {d.t('documents')}"
 
 
-@plan("remove_stopwords")
-def _(d):
-    return f"SELECT doc_id, count(*) AS kept FROM {d.words()} WHERE w NOT IN ('the', 'of', 'and', 'de', 'der') AND length(w) >= 2 GROUP BY doc_id"
-
-
 @plan("word_frequency")
 def _(d):
     return f"SELECT w AS word, count(*) AS n FROM {d.words()} GROUP BY w"
 
 
-@plan("doc_term_counts")
-def _(d):
-    return f"SELECT x.doc_id, x.w AS word, count(*) AS tf FROM {d.words()} x JOIN (SELECT w FROM {d.words()} GROUP BY w HAVING count(DISTINCT doc_id) >= 2) v ON x.w = v.w GROUP BY x.doc_id, x.w"
-
-
-@plan("vocab_select")
-def _(d):
-    return f"SELECT w AS word, df, tf FROM (SELECT w, count(DISTINCT doc_id) AS df, count(*) AS tf FROM {d.words()} GROUP BY w) x CROSS JOIN (SELECT count(*) AS n FROM {d.t('documents')}) t WHERE df >= 10 AND df <= 0.5 * n"
-
-
 @plan("bow_frequency")
 def _(d):
     return f"SELECT w AS word, count(*) AS n FROM {d.words()} GROUP BY w HAVING count(DISTINCT doc_id) >= 2"
 
 
-@plan("tfidf_mean")
-def _(d):
-    return f"""WITH tf AS (SELECT doc_id, w, CAST(count(*) AS DOUBLE) AS tf FROM {d.words()} GROUP BY doc_id, w),
-    df AS (SELECT w, count(*) AS df FROM tf GROUP BY w HAVING count(*) >= 10),
-    n AS (SELECT count(*) AS n FROM {d.t('documents')}),
-    x AS (SELECT tf.doc_id, tf.w, tf.tf * (ln((1 + n.n) / CAST(1 + df.df AS DOUBLE)) + 1) AS v FROM tf JOIN df ON tf.w = df.w CROSS JOIN n),
-    s AS (SELECT doc_id, sqrt(sum(v * v)) AS s FROM x GROUP BY doc_id)
-    SELECT x.w AS word, sum(x.v / s.s) / max(n.n) AS mean_tfidf FROM x JOIN s ON x.doc_id = s.doc_id CROSS JOIN n GROUP BY x.w"""
-
-
 @plan("fightin_words")
 def _(d):
     return f"""WITH c AS (SELECT w AS word, CAST(sum(CASE WHEN lang = 'en' THEN 1 ELSE 0 END) AS DOUBLE) AS a, CAST(sum(CASE WHEN lang = 'en' THEN 0 ELSE 1 END) AS DOUBLE) AS b FROM {d.words()} GROUP BY w),
@@ -348,35 +224,11 @@ def _(d):
     return f"SELECT a.w AS first_word, b.w AS second_word, count(*) AS n FROM {u} a JOIN {u} b ON a.doc_id = b.doc_id AND a.w < b.w GROUP BY a.w, b.w"
 
 
-@plan("npmi_coherence")
-def _(d):
-    top = f"(SELECT w AS t FROM {d.words()} GROUP BY w ORDER BY count(*) DESC, w LIMIT 12)"
-    return f"""WITH u AS (SELECT DISTINCT doc_id, w FROM {d.words()} x JOIN {top} k ON x.w = k.t),
-    c AS (SELECT w, CAST(count(*) AS DOUBLE) AS n FROM u GROUP BY w), n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM {d.t('documents')}),
-    p AS (SELECT a.w AS x, b.w AS y, CAST(count(*) AS DOUBLE) AS n FROM u a JOIN u b ON a.doc_id = b.doc_id AND a.w < b.w GROUP BY a.w, b.w),
-    g AS (SELECT a.w AS x, b.w AS y, a.n AS nx, b.n AS ny FROM c a JOIN c b ON a.w < b.w)
-    SELECT avg(CASE WHEN p.n IS NULL THEN CAST(-1 AS DOUBLE) WHEN p.n = n.n THEN CAST(1 AS DOUBLE) ELSE ln(p.n * n.n / (g.nx * g.ny)) / -ln(p.n / n.n) END) AS npmi
-    FROM g LEFT JOIN p ON g.x = p.x AND g.y = p.y CROSS JOIN n"""
-
-
-@plan("exclusivity")
-def _(d):
-    return f"""WITH b AS (SELECT lang, w, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY lang) AS beta FROM {d.words()} GROUP BY lang, w),
-    e AS (SELECT lang, beta / sum(beta) OVER (PARTITION BY w) AS share, row_number() OVER (PARTITION BY lang ORDER BY beta DESC, w) AS r FROM b)
-    SELECT lang, avg(share) AS exclusivity FROM e WHERE r <= 10 GROUP BY lang"""
-
-
 @plan("topic_diversity")
 def _(d):
     return f"SELECT CAST(count(DISTINCT w) AS DOUBLE) / count(*) AS diversity FROM (SELECT lang, w, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, w) AS r FROM {d.words()} GROUP BY lang, w) x WHERE r <= 15"
 
 
-@plan("aligned_weights")
-def _(d):
-    side = lambda c, k: f"(SELECT w, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER () AS {k} FROM {d.words(c)} GROUP BY w)"
-    return f"SELECT a.w AS word, wa, wb FROM {side('lang = ' + repr('en'), 'wa')} a LEFT JOIN {side('lang = ' + repr('fr'), 'wb')} b ON a.w = b.w"
-
-
 @plan("jaccard")
 def _(d):
     return f"""WITH u AS (SELECT DISTINCT lang, source FROM {d.t('documents')})
@@ -395,11 +247,6 @@ def _(d):
     return f"SELECT lang, {d.text(d.gathered('source'), ',')} AS sources FROM {d.t('documents')} GROUP BY lang"
 
 
-@plan("json_extract")
-def _(d):
-    return f"SELECT event_id, props IS NULL AS missing, length(props) AS size FROM {d.t('events')}"
-
-
 @plan("date_labels")
 def _(d):
     return f"SELECT event_type, {d.stamp('ts', 'month')} AS month, {d.stamp('ts', 'day')} AS day, count(*) AS n FROM {d.t('events')} GROUP BY 1, 2, 3"
@@ -424,16 +271,6 @@ def _(d):
     FROM m a JOIN m b ON a.dim = b.dim AND a.label < b.label JOIN n p ON p.label = a.label JOIN n q ON q.label = b.label GROUP BY a.label, b.label"""
 
 
-@plan("best_match")
-def _(d):
-    return f"SELECT x, y, cosine FROM (SELECT x, y, cosine, row_number() OVER (PARTITION BY x ORDER BY cosine DESC, y) AS r FROM ({PLANS['topic_cosine'](d)}) c) k WHERE r = 1"
-
-
-@plan("score_histogram")
-def _(d):
-    return f"SELECT CAST(floor(least(value, 199.999) / 10) AS BIGINT) AS bin, count(*) AS n FROM {d.t('events')} GROUP BY 1"
-
-
 @plan("bincount")
 def _(d):
     grid = f"(SELECT {d.each(d.spread('0', '11'))} AS k)"
@@ -443,15 +280,3 @@ def _(d):
 @plan("viz_top_terms")
 def _(d):
     return f"SELECT w AS word, count(*) AS n FROM {d.words()} GROUP BY w ORDER BY n DESC, word LIMIT 20"
-
-
-@plan("viz_keyword_counts")
-def _(d):
-    return f"SELECT lang AS keyword, n, 100.0 * n / sum(n) OVER () AS pct FROM (SELECT lang, count(*) AS n FROM {d.t('documents')} GROUP BY lang) x".replace("100.0 * n", "CAST(100 AS DOUBLE) * n")
-
-
-@plan("sliding_windows")
-def _(d):
-    n = d.size("t")
-    windows = f"(SELECT doc_id, t, {d.each(d.spread('1', f'greatest(1, {n} - 109)'))} AS i FROM (SELECT doc_id, {d.letters()} AS t FROM {d.t('documents')}) x)"
-    return f"SELECT doc_id, count(*) AS n_windows, CAST(sum({d.size(d.unique(d.part('t', 'i', '110')))}) AS BIGINT) AS n_types FROM {windows} w GROUP BY doc_id"

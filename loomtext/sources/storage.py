@@ -114,3 +114,10 @@ def rename(spark: SparkSession, path: str, to: str) -> None:
     found, store = _path(spark, path)
     if not store.rename(found, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(to)):
         raise OSError(f"{path} can't take the name {to}")
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` kept in shared storage, for plans that use it more than once."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
