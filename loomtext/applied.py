@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import lexicons
-from .functions import cleaning, dates, matching, pages, segment
+from .functions import cleaning, dates, matching, pages, segment, udf
 from .functions.text import tokenize_phrases
-from .operators import attitude, duplicates, ranks, rules, statistics, topics, vocabulary
+from .operators import attitude, duplicates, neural, ranks, rules, statistics, topics, vocabulary
 from .operators.topics import tokenised
-from .sources import readers, sinks, storage
+from .sources import readers, sinks, storage, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -820,3 +820,109 @@ def _(s, d):
         one = both.crossJoin(ranks.spearman(rows, x, y)).select(F.lit(f"{x}-{y}").alias("pair"), F.col("rho").alias("spearman"), "accuracy", "kappa")  # one row each
         out = one if out is None else out.unionByName(one)
     return out
+
+
+# --- more scans, sorts and chart tables ------------------------------------
+
+
+@query("url_parts", r"""SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS page, regexp_extract(url, '^[a-z]+://[^/?#]+', 0) || '/top?x=1' AS rooted,
+    regexp_extract(url, '^[a-z]+://[^/?#]+', 0) || coalesce(nullif(regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '[^/]*$', ''), ''), '/') || 'beside.html' AS beside FROM pages""")
+def _(s, d):
+    url = F.col("url")
+    host = F.regexp_extract(url, "^[a-z]+://([^/?#]+)", 1).alias("host")
+    return table(s, d, "pages").select("page_id", host, matching.url_parameter(url, "page").alias("page"), matching.url_join(url, F.lit("/top?x=1")).alias("rooted"), matching.url_join(url, F.lit("beside.html")).alias("beside"))
+
+
+@query("rounded", "SELECT l_orderkey, l_linenumber, round_even(l_extendedprice / 8 * 100, 0) / 100 AS two, round_even(l_quantity / 4, 0) AS none FROM lineitem")
+def _(s, d):
+    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", statistics.half_even(F.col("l_extendedprice") / 8, 2).alias("two"), statistics.half_even(F.col("l_quantity") / 4, 0).alias("none"))
+
+
+@query("position_lookup", "SELECT l.doc_id, p.place FROM labels l LEFT JOIN (SELECT doc_id // 2 AS half, max(doc_id) AS place FROM documents GROUP BY 1) p ON p.half = l.doc_id // 2")
+def _(s, d):
+    """The place of a key's last row: later duplicates win."""
+    places = _docs(s, d).groupBy(F.floor(F.col("doc_id") / 2).alias("half")).agg(F.max_by("doc_id", "doc_id").alias("place"))
+    return table(s, d, "labels").withColumn("half", F.floor(F.col("doc_id") / 2)).join(places, "half", "left").select("doc_id", "place")
+
+
+@query("most_common", f"""WITH w AS (SELECT word, count(*) AS n, min(doc_id * 1000000 + place) AS first FROM (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS place FROM (SELECT doc_id, regexp_extract_all(lower(text), '\\p{{L}}+') AS w FROM documents)) GROUP BY word)
+    SELECT word, n FROM w ORDER BY n DESC, first LIMIT 40""")
+def _(s, d):
+    """Words by count, those first seen first where counts are equal."""
+    places = tokenised(_docs(s, d).select("doc_id", "text")).select("doc_id", F.posexplode("tokens").alias("at", "word"))
+    counts = places.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "at")).alias("first"))
+    return counts.orderBy(F.desc("n"), "first").limit(40).select("word", "n")
+
+
+@query("dedup_ordered", r"""WITH k AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE 2021 + doc_id % 5 END AS published, source, n_chars, regexp_replace(text, '\P{Latin}+', '', 'g') AS letters FROM documents)
+    SELECT doc_id, published FROM (SELECT *, row_number() OVER (PARTITION BY letters ORDER BY published NULLS LAST, source NULLS LAST, n_chars NULLS LAST, doc_id) AS r FROM k) WHERE r = 1""")
+def _(s, d):
+    rows = _docs(s, d).select("doc_id", F.expr("CASE WHEN doc_id % 7 = 0 THEN NULL ELSE 2021 + doc_id % 5 END AS published"), "source", "n_chars", "text")
+    return duplicates.keep_first(rows, cleaning.script_only("text", "Latin"), ["published", "source", "n_chars"], "doc_id")[0].select("doc_id", "published")
+
+
+@query("spec_curve", f"""WITH g AS ({ORACLES['spec_grid']}), m AS (SELECT spec, avg(score) AS mean, 1.96::DOUBLE * stddev_samp(score) / sqrt(count(*)) AS ci FROM g GROUP BY spec) SELECT spec, mean, ci FROM m""")
+def _(s, d):
+    rows = QUERIES["spec_grid"](s, d)
+    return statistics.mean_interval(rows, ["spec"], "score").orderBy("mean", "spec").select("spec", "mean", "ci")
+
+
+@query("trend_ci", "SELECT lang = 'en' AS english, 2021 + doc_id % 5 AS year, count(*) AS n, avg(n_chars) AS mean, CASE WHEN count(*) >= 2 THEN 1.96::DOUBLE * stddev_samp(n_chars) / sqrt(count(*)) ELSE 0 END AS ci FROM documents GROUP BY ALL")
+def _(s, d):
+    rows = _docs(s, d).selectExpr("lang = 'en' AS english", "2021 + doc_id % 5 AS year", "n_chars")
+    return statistics.mean_interval(rows, ["english", "year"], "n_chars", 0.0)
+
+
+@query("reconstruction_check", f"SELECT lang AS topic, rank, CASE WHEN lang = 'fr' THEN 'word' WHEN lang = 'de' THEN 'weight' ELSE 'prevalence' END AS wrong FROM (SELECT topic AS lang, rank FROM {_LISTED}) WHERE lang IN ('fr', 'de', 'es') ")
+def _(s, d):
+    saved = _lists(s, d).select("topic", "rank", "word", F.lit(5.0).alias("weight_pct"), F.lit(20.0).alias("prevalence_pct"))
+    shown = lambda lang, old, new: F.when(F.col("topic") == lang, new).otherwise(old)
+    computed = saved.select(
+        "topic", "rank", shown("fr", F.col("word"), F.concat("word", F.lit("x"))).alias("word"),
+        shown("de", F.lit(5.00005), F.lit(5.0001)).alias("weight_pct"), shown("es", F.lit(20.005), F.lit(20.006)).alias("prevalence_pct"),
+    )
+    return topics.reconstruction_errors(saved, computed)
+
+
+@query("udf_surface", """SELECT doc_id, upper(left(lang, 1)) || substr(lang, 2) AS lang, n_chars // 1000 AS size, CASE WHEN n_chars > 2000 THEN 'long' ELSE 'short' END AS kind FROM documents""")
+def _(s, d):
+    rows = udf.apply_column(_docs(s, d).select("doc_id", "lang", "n_chars"), "lang", lambda v: v and v[:1].upper() + v[1:], "string")
+    made = udf.apply_rows(rows, lambda r: {"size": r["n_chars"] // 1000, "kind": "long" if r["n_chars"] > 2000 else "short"}, "size long, kind string")
+    return made.select("doc_id", "lang", "size", "kind")
+
+
+@query("udaf_surface", "SELECT source, (max(n_chars) - min(n_chars))::DOUBLE AS spread, median(n_chars) AS middle FROM documents GROUP BY source")
+def _(s, d):
+    return udf.aggregate_groups(_docs(s, d), ["source"], {"spread": ("n_chars", lambda v: float(v.max() - v.min())), "middle": ("n_chars", lambda v: float(v.median()))}, {"spread": "double", "middle": "double"})
+
+
+@query("store_upsert", "SELECT url, CASE WHEN length(url) % 2 = 0 THEN 'failed' ELSE 'done' END AS status FROM (SELECT DISTINCT url FROM pages)")
+def _(s, d):
+    crawl = store.Store(s, storage.scratch(s, "store"))
+    urls = table(s, d, "pages").select("url").distinct()
+    crawl.insert("processed", urls.withColumn("status", F.lit("failed")))
+    crawl.insert("processed", urls.withColumn("status", F.lit("ignored")))
+    crawl.replace("processed", urls.where("length(url) % 2 = 1").withColumn("status", F.lit("done")))
+    return crawl.read("processed").select("url", "status")
+
+
+def _net(s, d):
+    rows = _docs(s, d).join(_rated(s, d).select("doc_id", (F.col("human") + 1).alias("y")), "doc_id", "left").withColumn("held", F.crc32(F.col("doc_id").cast("string")) % 5 == 1)
+    return neural.train(rows, "text", "y", "held", 3)
+
+
+@query("text_net_epochs")
+def _(s, d):
+    _, best, scores = _net(s, d)
+    return s.createDataFrame([(i, float(x), i == best) for i, x in enumerate(scores, 1)], "epoch int, macro_f1 double, best boolean")
+
+
+@query("text_net_scores")
+def _(s, d):
+    scored = neural.infer(_docs(s, d).select("doc_id", "text"), "text", _net(s, d)[0].probabilities, "p")
+    return scored.select("doc_id", *[F.get("p", F.lit(i)).alias(n) for i, n in enumerate(("p_neg", "p_neutral", "p_pos"))])
+
+
+@query("sentence_vectors")
+def _(s, d):
+    return neural.infer(_docs(s, d).select("doc_id", "text"), "text", _net(s, d)[0].embed, "vector").select("doc_id", "vector")

@@ -80,3 +80,24 @@ def least_gap(left: Column, right: Column) -> Column:
         return F.struct(end("a", 0).alias("a"), end("b", 1).alias("b"), gap.alias("gap"))
 
     return F.aggregate(F.array_sort(F.concat(side(left, 0), side(right, 1))), state, step, lambda s: s["gap"])
+
+
+def url_parameter(c: Column, name: str) -> Column:
+    """A query parameter's decoded value; null without one."""
+    return F.try_url_decode(F.try_parse_url(c, F.lit("QUERY"), F.lit(name)))
+
+
+def url_join(base: Column, link: Column) -> Column:
+    """The absolute address of a link on a page: absolute already, of the page's scheme, from the
+    host's root, of the page's query or fragment, or beside the page."""
+    root = F.regexp_extract(base, r"^[a-z]+://[^/?#]+", 0)
+    path = F.regexp_extract(base, r"^[a-z]+://[^/?#]+([^?#]*)", 1)
+    folder = F.when(path == "", "/").otherwise(F.regexp_replace(path, r"[^/]*$", ""))
+    return (
+        F.when(F.regexp_like(link, F.lit("^[A-Za-z][A-Za-z0-9+.-]*:")), link)
+        .when(F.startswith(link, F.lit("//")), F.concat(F.regexp_extract(base, "^[a-z]+:", 0), link))
+        .when(F.startswith(link, F.lit("/")), F.concat(root, link))
+        .when(F.startswith(link, F.lit("#")), F.concat(F.regexp_replace(base, "#.*$", ""), link))
+        .when(F.startswith(link, F.lit("?")), F.concat(root, path, link))
+        .otherwise(F.concat(root, folder, link))
+    )

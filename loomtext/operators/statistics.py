@@ -14,6 +14,11 @@ def _share(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
 
+def half_even(c: Column, digits: int) -> Column:
+    """Rounded to ``digits`` decimals, halves to the even neighbour, on the binary number."""
+    return F.rint(c * 10.0**digits) / 10.0**digits
+
+
 def classification_report(df: DataFrame, truth: str, guess: str, classes: Sequence[int]) -> DataFrame:
     """class, precision, recall, f1 and support of each class; shares of nothing are 0."""
     sums = [f(c) for c in classes for f in (

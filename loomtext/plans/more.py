@@ -27,10 +27,6 @@ def _(d):
     return f"SELECT page_id, {d.has('url', '^https?://')} AS web, {d.has('url', '[.](html|htm)$')} AS page FROM {d.t('pages')}"
 
 
-@plan("url_parts")
-def _(d):
-    return f"SELECT page_id, {d.first('url', '^[a-z]+://([^/]+)', 1)} AS host, {d.first('url', '^[a-z]+://[^/]+(/[^?#]*)', 1)} AS path FROM {d.t('pages')}"
-
 
 @plan("fingerprint")
 def _(d):

@@ -257,3 +257,23 @@ def test_dates_near_links():
     assert found[:2] == [datetime.datetime(2021, 5, 6), datetime.datetime(2022, 1, 2)]
     deep = pages.parsed("<div>2020-01-01" + "<i>" * 6 + "<a>x</a>" + "</i>" * 6 + "</div>")
     assert pages.date_near(next(deep.elements("a"))) is None
+
+
+def test_addresses(spark):
+    base = "https://a.org/x/y.html?page=2&q=%E5%A9%9A%20z#top"
+    links = ["http://b.net/k", "//c.org/k", "/root?i=1", "beside.html", "?page=3", "#end", "mailto:a@b.org"]
+    want = ["http://b.net/k", "https://c.org/k", "https://a.org/root?i=1", "https://a.org/x/beside.html", "https://a.org/x/y.html?page=3", "https://a.org/x/y.html?page=2&q=%E5%A9%9A%20z#end", "mailto:a@b.org"]
+    assert values(spark, links, matching.url_join(F.lit(base), F.col("text"))) == want
+    assert values(spark, ["q", "none"], F.coalesce(matching.url_parameter(F.lit(base), "q"), F.lit("-"))) == ["婚 z"] * 2
+    assert values(spark, ["https://a.org"], matching.url_join(F.col("text"), F.lit("k"))) == ["https://a.org/k"]
+
+
+def test_python_functions_over_tables(spark):
+    from loomtext.functions import udf
+
+    df = spark.createDataFrame([(1, "a", 2.0), (2, None, 4.0), (3, "a", 7.0)], "id long, g string, x double")
+    assert [r.g for r in udf.apply_column(df, "g", lambda v: (v or "none") * 2, "string").orderBy("id").collect()] == ["aa", "nonenone", "aa"]
+    rows = udf.apply_rows(df, lambda r: {"twice": r["x"] * 2, "tag": f"{r['id']}"}, "twice double, tag string").orderBy("id").collect()
+    assert [(r.x, r.twice, r.tag) for r in rows] == [(2.0, 4.0, "1"), (4.0, 8.0, "2"), (7.0, 14.0, "3")]
+    got = udf.aggregate_groups(df, ["g"], {"spread": ("x", lambda v: v.max() - v.min()), "all": ("id", lambda v: "-".join(map(str, v)))}, {"spread": "double", "all": "string"})
+    assert {r.g: (r.spread, r["all"]) for r in got.collect()} == {"a": (5.0, "1-3"), None: (0.0, "2")}

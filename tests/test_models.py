@@ -183,3 +183,36 @@ def test_kappa_without_spread(spark):
     df = spark.createDataFrame([(1, 1)] * 3, "a int, b int")
     row = statistics.agreement(df, "a", "b", [0, 1]).first()
     assert (row.n, row.accuracy, row.kappa, row.macro_f1) == (3, 1.0, None, 0.5)
+
+
+def test_text_network(spark):
+    from loomtext.operators import neural
+
+    rng = random.Random(8)
+    words = [["good", "fine", "glad"], ["bad", "sad", "poor"], ["plain", "so", "even"]]
+    rows = [(i, " ".join(rng.choice(words[i % 3]) for _ in range(8)), i % 3 if i < 150 else None, i % 5 == 0) for i in range(180)] + [(900, None, None, False), (901, "", None, False)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, y int, held boolean")
+    net, best, scores = neural.train(df, "text", "y", "held", 3)
+    assert 1 <= best <= 5 == len(scores) and scores[best - 1] == max(scores) > 0.9
+    got = {r.doc_id: r.p for r in neural.infer(df, "text", net.probabilities, "p", batch=7).collect()}
+    assert all(np.argmax(got[i]) == i % 3 for i in range(180)) and got[900] == got[901]
+    assert got[3] == pytest.approx(net.probabilities([rows[3][1]])[0]) and sum(got[3]) == pytest.approx(1)
+    vectors = neural.infer(df.limit(3), "text", net.embed).collect()
+    assert all(np.linalg.norm(r.vector) == pytest.approx(1) for r in vectors)
+    small = neural.TextNet(2, size=16, width=3)
+    small.out = np.random.default_rng(1).normal(size=(3, 2))
+    features, y = [np.array([1, 2, 2]), np.array([5])], np.array([0, 1])
+    at, table, out, bias = small.gradients(features, y)
+
+    def loss():
+        code = np.stack([small.table[f].mean(0) for f in features])
+        z = code @ small.out + small.bias
+        return float(np.mean(np.log(np.exp(z).sum(1)) - z[[0, 1], y]))
+
+    for array, spot, want in ((small.table, (2, 1), table[list(at).index(2), 1]), (small.out, (0, 1), out[0, 1]), (small.bias, (1,), bias[1])):
+        old = array[spot]
+        array[spot] = old + 1e-6
+        up = loss()
+        array[spot] = old - 1e-6
+        assert want == pytest.approx((up - loss()) / 2e-6, abs=1e-6)
+        array[spot] = old

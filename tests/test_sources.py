@@ -181,3 +181,21 @@ def test_sessions_try_again():
     assert connectors.Session(lambda *_: replies.pop(0), sleep=waits.append).get("u").status == 200 and waits == [1, 2]
     assert connectors.Session(lambda *_: connectors.Reply(500, ""), tries=2, sleep=waits.append).get("u").status == 500
     assert connectors.candidate("m", "k", None, date(2021, 1, 2), "u", "a  b", 2021)["search_date"] == "2021-01-02"
+
+
+def test_store(spark, tmp_path):
+    from loomtext.sources.store import Store
+
+    crawl = Store(spark, f"file://{tmp_path}/s")
+    assert crawl.read("candidates").count() == 0
+    rows = lambda xs: spark.createDataFrame(xs, "url string, media string, study_year int")
+    crawl.insert("candidates", rows([("u1", "a", 2021), ("u2", "a", 2020), ("u2", "a", 2020), ("u3", "b", 2021)]))
+    crawl.insert("candidates", rows([("u1", "other", 2022), ("u4", "c", 2019)]))
+    assert {(r.url, r.media) for r in crawl.read("candidates").collect()} == {("u1", "a"), ("u2", "a"), ("u3", "b"), ("u4", "c")}
+    status = lambda xs: spark.createDataFrame(xs, "url string, status string")
+    crawl.replace("processed", status([("u1", "failed"), ("u2", "done")]))
+    crawl.replace("processed", status([("u2", "failed"), ("u3", "done")]))
+    assert [r.url for r in crawl.pending().collect()] == ["u4", "u2", "u1"]
+    with pytest.raises(Exception, match="lost"):
+        crawl.replace("processed", status([("u9", "x")]).withColumn("status", F.raise_error(F.lit("lost")).cast("string")))
+    assert {r.url for r in crawl.read("processed").collect()} == {"u1", "u2", "u3"}
