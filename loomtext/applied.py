@@ -926,3 +926,39 @@ def _(s, d):
 @query("sentence_vectors")
 def _(s, d):
     return neural.infer(_docs(s, d).select("doc_id", "text"), "text", _net(s, d)[0].embed, "vector").select("doc_id", "vector")
+
+
+_SEEDS = {k: dict.fromkeys(v, 1.0) for k, v in (("p", ("and", "is", "que", "und")), ("n", ("of", "der", "les", "por")))}
+_ORIENTED = f"""p AS (SELECT doc_id, (p - n) / (p + n + 1) AS polarity FROM (SELECT doc_id, {_weigh(_SEEDS['p'])} AS p, {_weigh(_SEEDS['n'])} AS n FROM documents)),
+    o AS (SELECT word, count(*) AS df, avg(polarity) * least(1, ln(count(*)) / ln((SELECT count(*) FROM documents))) AS orientation FROM (SELECT DISTINCT doc_id, word FROM ({_WORDS})) JOIN p USING (doc_id) GROUP BY word HAVING count(*) >= 50)"""
+
+
+def _polarity(s, d) -> DataFrame:
+    p, n = (matching.weighted_count(F.col("text"), _SEEDS[k]) for k in ("p", "n"))
+    return _docs(s, d).select("doc_id", ((p - n) / (p + n + 1)).alias("polarity"))
+
+
+@query("word_orientation", f"WITH {_ORIENTED} SELECT word, df, orientation FROM o")
+def _(s, d):
+    return attitude.word_orientation(vocabulary.term_counts(_docs(s, d)), _polarity(s, d), _docs(s, d).count())
+
+
+@query("semantic_scaling_lss", f"""WITH {_ORIENTED}, r AS (SELECT doc_id, coalesce(raw, 0) AS raw FROM documents LEFT JOIN (SELECT doc_id, avg(orientation) AS raw FROM ({_WORDS}) JOIN o USING (word) GROUP BY doc_id) USING (doc_id)),
+    m AS (SELECT avg(raw) AS m, stddev_samp(raw) AS s FROM r) SELECT doc_id, raw, 2 / (1 + exp(-2 * (raw - m) / (s + 1e-9))) - 1 AS score FROM r, m""")
+def _(s, d):
+    counts = vocabulary.term_counts(_docs(s, d))
+    return attitude.scaled_documents(_docs(s, d), counts, attitude.word_orientation(counts, _polarity(s, d), _docs(s, d).count()))
+
+
+@query("pair_cooccurrence", f"""WITH l AS {_LISTED}, h AS (SELECT DISTINCT doc_id, word FROM ({_WORDS}) WHERE word IN (SELECT word FROM l))
+    SELECT x.topic, x.word AS first_word, y.word AS second_word, (SELECT count(*) FROM h a JOIN h b USING (doc_id) WHERE a.word = x.word AND b.word = y.word) AS n FROM l x JOIN l y ON x.topic = y.topic AND x.word < y.word""")
+def _(s, d):
+    lists = _lists(s, d)
+    x, y = lists.select("topic", F.col("word").alias("first_word")), lists.select("topic", F.col("word").alias("second_word"))
+    counts = topics.pair_counts(lists, tokenised(_docs(s, d).select("doc_id", "text"))).select(F.col("a").alias("first_word"), F.col("b").alias("second_word"), F.col("n").cast("long").alias("n"))
+    return x.join(y, "topic").where("first_word < second_word").join(counts, ["first_word", "second_word"], "left").select("topic", "first_word", "second_word", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("strip_dot_zero", "SELECT doc_id, n_chars::VARCHAR AS years FROM documents")
+def _(s, d):
+    return _docs(s, d).select("doc_id", F.regexp_replace(F.col("n_chars").cast("double").cast("string"), r"\.0$", "").alias("years"))

@@ -180,6 +180,27 @@ def leave_one_out(docs: DataFrame, labels: DataFrame, row_id: str, text: str, la
     return found.join(F.broadcast(named), "at").select(row_id, "label", "predicted")
 
 
+# --- scaling by the company of words ---------------------------------------
+
+
+def word_orientation(counts: DataFrame, polarity: DataFrame, n: int, least: int = 50) -> DataFrame:
+    """word, df, orientation: the mean polarity (doc_id, polarity) of the documents that hold a
+    word, drawn to 0 the rarer it is; of words in ``least`` documents or more."""
+    known = counts.select("doc_id", "word").join(polarity, "doc_id").groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.avg("polarity").alias("mean")).where(F.col("df") >= least)
+    return known.select("word", "df", (F.col("mean") * F.least(F.lit(1.0), F.log("df") / F.log(F.lit(float(n))))).alias("orientation"))
+
+
+def scaled_documents(docs: DataFrame, counts: DataFrame, orientation: DataFrame) -> DataFrame:
+    """doc_id, raw (the mean orientation of a document's words, 0 without any) and score, tanh of
+    its distance from the corpus's mean in deviations."""
+    from .vocabulary import within
+
+    sums = within(counts.select("doc_id", "word", "tf"), orientation).groupBy("doc_id").agg((F.sum(F.col("tf") * F.col("orientation")) / F.sum("tf")).alias("raw"))
+    rows = docs.select("doc_id").join(sums, "doc_id", "left").select("doc_id", F.coalesce("raw", F.lit(0.0)).alias("raw"))
+    moments = rows.agg(F.avg("raw").alias("m"), F.stddev_samp("raw").alias("s"))
+    return rows.crossJoin(F.broadcast(moments)).select("doc_id", "raw", F.tanh((F.col("raw") - F.col("m")) / (F.col("s") + 1e-9)).alias("score"))  # one row
+
+
 # --- semantic axes ---------------------------------------------------------
 
 

@@ -233,16 +233,22 @@ def diversity(components: np.ndarray, n: int = 15) -> float:
     return len({w for t in top_words(components, n) for w in t}) / (len(components) * n)
 
 
+def pair_counts(words: DataFrame, docs: DataFrame) -> DataFrame:
+    """a, b, n: in how many documents (doc_id, tokens) both words stand, a before or equal to b;
+    only the words asked for (word) leave a document."""
+    wanted = F.broadcast(words.select("word").distinct())  # lists
+    held = docs.select("doc_id", F.explode(F.array_distinct("tokens")).alias("word")).join(wanted, "word").groupBy("doc_id").agg(F.collect_set("word").alias("own"))
+    pairs = F.explode(F.flatten(F.transform("own", lambda a: F.transform(F.filter("own", lambda b: b >= a), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p")
+    return held.select(pairs).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).cast("double").alias("n"))
+
+
 def npmi(lists: DataFrame, docs: DataFrame) -> DataFrame:
     """topic, npmi: the mean over the pairs of each topic's words (topic, word) of their
     normalised pointwise information over documents (doc_id, tokens). A pair that never meets
     has -1, one in every document 1; a word that no document holds takes no part as the later
     of a pair. Documents are read once; only listed words leave them."""
     words = lists.select("topic", "rank", "word")
-    wanted = words.select("word").distinct()
-    held = docs.select("doc_id", F.explode(F.array_distinct("tokens")).alias("word")).join(F.broadcast(wanted), "word").groupBy("doc_id").agg(F.collect_set("word").alias("own"))
-    pairs_of = F.explode(F.flatten(F.transform("own", lambda a: F.transform(F.filter("own", lambda b: b >= a), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p")
-    counts = held.select(pairs_of).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    counts = pair_counts(words, docs)
     single = counts.where("a = b").select(F.col("a").alias("w"), F.col("n").alias("k"))
     total = docs.agg(F.count(F.lit(1)).cast("double").alias("total"))
     x, y = words.alias("x"), words.alias("y")

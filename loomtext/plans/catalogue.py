@@ -201,29 +201,6 @@ def _(d):
     return f"SELECT DISTINCT doc_id FROM {d.words()} WHERE w IN ('license', 'token')"
 
 
-@plan("word_orientation")
-def _(d):
-    return f"""WITH p AS (SELECT doc_id AS id, (p - n) / (p + n + 1) AS polarity FROM (SELECT doc_id, CAST({_hits('text', POS)} AS DOUBLE) AS p, CAST({_hits('text', NEG)} AS DOUBLE) AS n FROM {d.t('documents')}) x),
-    n AS (SELECT count(*) AS n FROM {d.t('documents')})
-    SELECT w AS word, count(*) AS df, avg(polarity) * least(1, ln(count(*)) / ln(max(n.n))) AS orientation
-    FROM (SELECT DISTINCT doc_id, w FROM {d.words()}) u JOIN p ON u.doc_id = p.id CROSS JOIN n GROUP BY w HAVING count(*) >= 50"""
-
-
-@plan("semantic_scaling_lss")
-def _(d):
-    return f"""WITH o AS ({PLANS['word_orientation'](d)}),
-    s AS (SELECT doc_id, avg(orientation) AS raw FROM {d.words()} x JOIN o ON x.w = o.word GROUP BY doc_id),
-    m AS (SELECT avg(raw) AS m, stddev_samp(raw) AS s FROM s)
-    SELECT doc_id, raw, 2 / (1 + exp(-2 * (raw - m.m) / (m.s + 1e-9))) - 1 AS score FROM s CROSS JOIN m"""
-
-
-@plan("pair_cooccurrence")
-def _(d):
-    top = f"(SELECT w AS t FROM {d.words()} GROUP BY w ORDER BY count(*) DESC, w LIMIT 12)"
-    u = f"(SELECT DISTINCT doc_id, w FROM {d.words()} x JOIN {top} k ON x.w = k.t)"
-    return f"SELECT a.w AS first_word, b.w AS second_word, count(*) AS n FROM {u} a JOIN {u} b ON a.doc_id = b.doc_id AND a.w < b.w GROUP BY a.w, b.w"
-
-
 @plan("topic_diversity")
 def _(d):
     return f"SELECT CAST(count(DISTINCT w) AS DOUBLE) / count(*) AS diversity FROM (SELECT lang, w, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, w) AS r FROM {d.words()} GROUP BY lang, w) x WHERE r <= 15"

@@ -7,7 +7,6 @@ from .catalogue import NEG, PLANS, POS, YEAR, _hits, _in, plan, simple
 TANH = "(2 / (1 + exp(-2 * ({0}))) - 1)"
 
 simple("parse_num", "SELECT doc_id, TRY_CAST(source AS DOUBLE) AS number, TRY_CAST(replace(source, 'src', '') AS BIGINT) AS source_no FROM @documents")
-simple("strip_dot_zero", "SELECT doc_id, replace(CAST(quality AS STRING) || '.0', '.0', '') AS label_text FROM @labels")
 simple("nanlike_filter", "SELECT doc_id, lang FROM @documents WHERE lower(trim(lang)) NOT IN ('', 'nan', 'none', 'null', 'na', '<na>', 'de')")
 simple("topic_labels", "SELECT e.vec_id, e.label, n.n_name AS topic_name FROM @embeddings e LEFT JOIN @nation n ON e.label = n.n_nationkey")
 simple("export_ordered", "SELECT source, doc_id, substring(text, 1, 60) AS title FROM @documents ORDER BY source ASC NULLS LAST, doc_id")
@@ -27,7 +26,6 @@ def _(d):
     return f"SELECT page_id, {d.has('url', '^https?://')} AS web, {d.has('url', '[.](html|htm)$')} AS page FROM {d.t('pages')}"
 
 
-
 @plan("fingerprint")
 def _(d):
     digest = "sha2(text || '|v1', 256)" if type(d).__name__ == "Spark" else "sha256(text || '|v1')"

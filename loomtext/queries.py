@@ -107,7 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _ARRIVAL = "(event_id * 7919) % 1000003"
 ORACLES = {
-    "scan_csv_roundtrip": "SELECT doc_id, text, lang, source FROM documents",
+    "scan_csv_roundtrip": "SELECT doc_id, text, lang, source, n_chars FROM documents",
     "stratified_sample": "SELECT doc_id, year FROM (SELECT doc_id, 2021 + doc_id % 5 AS year, row_number() OVER (PARTITION BY doc_id % 5 ORDER BY md5('42' || doc_id::VARCHAR), doc_id) AS r FROM documents) WHERE r <= 10",
     "stratified_split": "SELECT doc_id, CASE WHEN row_number() OVER (PARTITION BY toxic ORDER BY md5('42' || doc_id::VARCHAR), doc_id) <= floor(count(*) OVER (PARTITION BY toxic) * 0.2::DOUBLE + 0.5) THEN 'validation' ELSE 'train' END AS part FROM labels",
     "kfold_assign": "SELECT doc_id, (row_number() OVER (PARTITION BY toxic ORDER BY md5('42' || doc_id::VARCHAR), doc_id) % 5)::BIGINT AS fold FROM labels",

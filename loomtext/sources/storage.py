@@ -89,7 +89,7 @@ def read_any_encoding(spark: SparkSession, path: str, columns: list[str], head:
 
 
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     path = scratch(spark, "csv")
     write_csv(df, path)
     return read_csv(spark, path, df.schema)

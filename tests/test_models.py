@@ -216,3 +216,18 @@ def test_text_network(spark):
         array[spot] = old - 1e-6
         assert want == pytest.approx((up - loss()) / 2e-6, abs=1e-6)
         array[spot] = old
+
+
+@pytest.mark.parametrize("size", [100_000, 7])
+def test_places_in_strata(spark, size):
+    import hashlib
+
+    from loomtext.operators import sampling
+
+    rows = [(i, None if i % 11 == 0 else "big" if i % 4 else "small") for i in range(300)]
+    got = {r.id: (r._place, r._size) for r in sampling.placed(spark.createDataFrame(rows, "id long, g string"), "id", "g", rows_per_range=size).collect()}
+    for g in (None, "big", "small"):
+        own = sorted((i for i, x in rows if x == g), key=lambda i: hashlib.md5(f"42{i}".encode()).hexdigest())
+        assert [got[i] for i in own] == [(n, len(own)) for n in range(1, len(own) + 1)]
+    parts = sampling.stratified_split(spark.createDataFrame(rows, "id long, g string"), "id", "g", rows_per_range=size).groupBy("g", "part").count().collect()
+    assert {(r.g, r["count"]) for r in parts if r.part == "validation"} == {(g, int(sum(x == g for _, x in rows) * 0.2 + 0.5)) for g in (None, "big", "small")}
