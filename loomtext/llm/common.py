@@ -6,6 +6,8 @@ driver and executors share, so a lost executor costs only its running tasks.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -68,8 +70,8 @@ def remove(df: DataFrame) -> None:
 
 #: Tables of at most so many rows are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-#: A key that holds more than this part of all rows is joined by broadcast.
-HOT_SHARE = 1000
+#: A key that holds more than one in HOT_SHARE of all rows, and more than HOT_ROWS, is joined by broadcast.
+HOT_SHARE, HOT_ROWS = 1000, 1000
 
 
 def few(df: DataFrame) -> DataFrame:
@@ -79,13 +81,15 @@ def few(df: DataFrame) -> DataFrame:
 
 def join_keys(rows: DataFrame, keys: DataFrame, key: str | list[str], n: str) -> DataFrame:
     """``rows`` joined with ``keys``, a written table with one row for each key and, in its
-    column ``n``, how many of the rows have it. Keys that hold more than one in HOT_SHARE
-    of the rows, of which there are fewer than HOT_SHARE, are joined where their rows lie,
-    so no key's rows meet in one task."""
-    total = keys.agg(F.sum(n)).first()[0] or 0
-    hot = F.broadcast(keys.where(F.col(n) > total // HOT_SHARE))
-    rest = rows.join(hot.select(key) if isinstance(key, str) else hot.select(*key), key, "left_anti").join(keys.where(F.col(n) <= total // HOT_SHARE), key)
-    return rest.unionByName(rows.join(hot, key))
+    column ``n``, how many of the rows have it. The rows of hot keys (fewer than HOT_SHARE)
+    are joined where they lie, so no key's rows meet in one task."""
+    total, most = keys.agg(F.sum(n), F.max(n)).first()
+    bar = max(HOT_ROWS, (total or 0) // HOT_SHARE)
+    if (most or 0) <= bar:
+        return rows.join(keys, key)
+    name = F.xxhash64(*([key] if isinstance(key, str) else key))
+    hot = [r[0] for r in keys.where(F.col(n) > bar).select(name).collect()]
+    return rows.where(~name.isin(hot)).join(keys.where(~name.isin(hot)), key).unionByName(rows.where(name.isin(hot)).join(F.broadcast(keys.where(name.isin(hot))), key))
 
 
 def held_out(id_col: str, folds: int) -> F.Column:
@@ -99,6 +103,12 @@ def hashed_share(id_col: str, seed: str) -> F.Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(2**32)
 
 
+def trim() -> None:
+    """Give freed memory back to the system, where the C library can: workers live on."""
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 # --- bytes and words -------------------------------------------------------
 
 #: Lower-cased ASCII letters, digits and every byte of a non-ASCII character.

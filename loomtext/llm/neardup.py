@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, U64, few, hashed_words, join_keys, materialise, mix, remove, row_chunks
+from .common import ALNUM, U64, few, hashed_words, join_keys, materialise, mix, remove, row_chunks, trim
 from .graph import components
 
 SHINGLE = 5
@@ -157,6 +157,7 @@ def signed(docs: DataFrame, bands: int, rows: int, weights: str = "set") -> Data
                 keys += [row if ok else None for row, ok in zip(bands_of, full, strict=True)]
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, longs), pa.array(bits, longs)], ["doc_id", "copy", "bands", "sketch"])
+        trim()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("copy"), "text")
     return texts.mapInArrow(scan, "doc_id long, copy string, bands array<long>, sketch array<long>")
@@ -182,9 +183,12 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, least: float, weights: str
 
     def scan(batches):
         for batch in batches:
-            good = [similarity(x, y) >= least for x, y in zip(sets(batch.column(2)), sets(batch.column(3)), strict=True)]
-            mask = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+            for i in range(0, batch.num_rows, 256):  # no more shingle sets at once
+                part = batch.slice(i, 256)
+                good = [similarity(x, y) >= least for x, y in zip(sets(part.column(2)), sets(part.column(3)), strict=True)]
+                mask = pa.array(good, pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(mask), part.column(1).filter(mask)], ["a", "b"])
+        trim()
 
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
