@@ -86,10 +86,10 @@ def join_keys(rows: DataFrame, keys: DataFrame, key: str | list[str], n: str) ->
     total, most = keys.agg(F.sum(n), F.max(n)).first()
     bar = max(HOT_ROWS, (total or 0) // HOT_SHARE)
     if (most or 0) <= bar:
-        return rows.join(keys, key)
+        return rows.join(keys.hint("merge"), key)  # the keys grow with the data
     name = F.xxhash64(*([key] if isinstance(key, str) else key))
     hot = [r[0] for r in keys.where(F.col(n) > bar).select(name).collect()]
-    return rows.where(~name.isin(hot)).join(keys.where(~name.isin(hot)), key).unionByName(rows.where(name.isin(hot)).join(F.broadcast(keys.where(name.isin(hot))), key))
+    return rows.where(~name.isin(hot)).join(keys.where(~name.isin(hot)).hint("merge"), key).unionByName(rows.where(name.isin(hot)).join(F.broadcast(keys.where(name.isin(hot))), key))
 
 
 def held_out(id_col: str, folds: int) -> F.Column:
