@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import html
-import re
 from collections.abc import Sequence
 
 import pandas as pd
@@ -22,15 +21,3 @@ def tokenize_phrases(text: Column, phrases: Sequence[str]) -> Column:
     ordered = sorted((p.lower() for p in phrases), key=lambda p: (-len(p), p))
     pattern = "|".join([*("\\Q" + p + "\\E" for p in ordered), r"\p{L}+"])
     return F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))
-
-
-def plain_text(page: Column) -> Column:
-    """A page's text: scripts, styles and tags removed, entities decoded, space collapsed."""
-    bare = F.regexp_replace(F.regexp_replace(page, r"(?is)<(script|style)[^>]*>.*?</\1>", " "), "<[^>]+>", " ")
-    return F.trim(F.regexp_replace(html_unescape(bare), r"\s+", " "))
-
-
-def visible_text(page: str) -> str:
-    """plain_text for one string, for tests."""
-    bare = re.sub("<[^>]+>", " ", re.sub(r"(?is)<(script|style)[^>]*>.*?</\1>", " ", page))
-    return re.sub(r"\s+", " ", html.unescape(bare)).strip()

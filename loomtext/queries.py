@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import text
 from .operators import corpora, ranks, sampling, topics
 from .plans.dialect import Portable
 from .plans.queries import PLANS, run_plan

@@ -6,7 +6,6 @@ import random
 import duckdb
 import pytest
 
-from loomtext.functions import text
 from loomtext.operators.topics import best_assignment
 from loomtext.operators import ranks
 from loomtext.plans.dialect import TABLES
@@ -43,12 +42,6 @@ def test_encodings():
     assert storage.detect_encoding("婚姻登记".encode("gb18030")) == "gb18030"
 
 
-def test_pages_lose_their_markup(spark):
-    page = "<html><SCRIPT>var a = '<b>';</script><p>Fish &amp; chips</p></html>"
-    df = spark.createDataFrame([(page,)], "html string")
-    assert df.select(text.plain_text(df.html).alias("t")).first().t == text.visible_text(page) == "Fish & chips"
-
-
 @pytest.mark.parametrize("ranges", [1, 3, 128])
 def test_ranks_in_ranges(spark, ranges):
     rng = random.Random(2)
