@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, U64, held_out, row_chunks, word_bounds, word_hashes
+from .common import ALNUM, U64, held_out, remove, row_chunks, trim, word_bounds, word_hashes
 from .sampling import training_rows
 
 PASSAGE = 512
@@ -150,8 +150,13 @@ def train(sample: DataFrame) -> GatedAttention | None:
 
     def fitted(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["key", "doc_id"])
-        bags = [encode(data, offsets)[1] for _, _, data, offsets in row_chunks(pa.array(rows.text.tolist(), pa.string()), max_rows=1)]
+        bags: list[np.ndarray] = []  # parts of larger arrays
+        for i, j, data, offsets in row_chunks(pa.array(rows.text.tolist(), pa.string())):
+            own, x = encode(data, offsets)
+            bags += np.split(x, np.searchsorted(own, np.arange(1, j - i)))
         model = GatedAttention().fit(bags, rows.label.to_numpy(np.float32))
+        del bags
+        trim()
         return pd.DataFrame({"name": list(model.p), "value": [p.tobytes() for p in model.p.values()]})
 
     found = {r.name: r.value for r in sample.groupBy(F.lit(0).alias("all")).applyInPandas(fitted, "name string, value binary").collect()}
@@ -164,7 +169,9 @@ def train(sample: DataFrame) -> GatedAttention | None:
 
 def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, threshold: float = THRESHOLD, bound: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted for each document."""
-    model = docs.sparkSession.sparkContext.broadcast(train(training_rows(docs, labels, "quality", folds, bound, "quality")))
+    sample = training_rows(docs, labels, "quality", folds, bound, "quality")
+    model = docs.sparkSession.sparkContext.broadcast(train(sample))
+    remove(sample)
 
     def scan(batches):
         net = model.value

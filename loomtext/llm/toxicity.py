@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, U64, ascii_lower, held_out, mix, row_chunks, word_bounds, word_hashes
+from .common import ALNUM, U64, ascii_lower, held_out, mix, remove, row_chunks, trim, word_bounds, word_hashes
 from .sampling import training_rows
 
 BITS = 20
@@ -98,9 +98,15 @@ def fit(examples: Iterable[tuple[np.ndarray, int]], epochs: int = 4, bits: int =
     return model
 
 
-def _examples(texts: list[str], bits: int):
-    for i, _, data, offsets in row_chunks(pa.array(texts, pa.string()), max_rows=1):
-        yield i, with_repeats(features(data, offsets, bits)[1], bits)
+def _examples(texts: list[str], bits: int) -> list[np.ndarray]:
+    """The features of each text, as parts of larger arrays of four-byte numbers."""
+    out: list[np.ndarray] = []
+    for i, j, data, offsets in row_chunks(pa.array(texts, pa.string())):
+        rows, found = features(data, offsets, bits)
+        pairs = with_repeats((rows << bits) | found, bits)
+        at = (pairs & (2**bits - 1)).astype(np.int32)
+        out += np.split(at, np.searchsorted(pairs >> bits, np.arange(1, j - i)))
+    return out
 
 
 def train(sample: DataFrame, bits: int = BITS, **how) -> tuple[np.ndarray, float]:
@@ -108,10 +114,10 @@ def train(sample: DataFrame, bits: int = BITS, **how) -> tuple[np.ndarray, float
 
     def fitted(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["key", "doc_id"])
-        labels = rows.label.tolist()
-        model = fit(((at, labels[i]) for i, at in _examples(rows.text.tolist(), bits)), bits=bits, **how)
+        model = fit(zip(_examples(rows.text.tolist(), bits), rows.label.tolist(), strict=True), bits=bits, **how)
         w = model.weights(slice(0, -1))
         at = np.flatnonzero(w)
+        trim()
         return pd.DataFrame({"at": np.append(at, -1), "w": np.append(w[at], model.intercept())})
 
     found = sample.groupBy(F.lit(0).alias("all")).applyInPandas(fitted, "at long, w double").toPandas()
@@ -125,7 +131,9 @@ def train(sample: DataFrame, bits: int = BITS, **how) -> tuple[np.ndarray, float
 
 def scorer(docs: DataFrame, labels: DataFrame, folds: int, bits: int, bound: int):
     """A function from a column of texts to their scores, with the fitted weights broadcast."""
-    weights, bias = train(training_rows(docs, labels, "toxic", folds, bound, "toxic"), bits)
+    sample = training_rows(docs, labels, "toxic", folds, bound, "toxic")
+    weights, bias = train(sample, bits)
+    remove(sample)
     at = np.flatnonzero(weights)
     model = docs.sparkSession.sparkContext.broadcast((at.astype(np.int32), weights[at], bias))
 

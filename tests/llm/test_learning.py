@@ -62,7 +62,7 @@ def test_scores_are_sums_of_the_weights(spark):
     weights, bias = toxicity.train(training_rows(docs, labels, "toxic", 3, 12_000, "toxic"))
     got = {r.doc_id: r for r in toxicity.score_toxicity(docs, labels).collect()}
     for i, t in rows:
-        own = next(iter(toxicity._examples([t or ""], toxicity.BITS)))[1]
+        (own,) = toxicity._examples([t or ""], toxicity.BITS)
         logit = bias + sum(float(weights[k]) for k in set(own.tolist()))
         assert got[i].score == pytest.approx(1 / (1 + math.exp(-logit)), abs=1e-6)
         assert got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1) and got[i].predicted == int(got[i].score >= 0.7)
