@@ -16,8 +16,10 @@ Neighbours at a range's edge are handed over to the range beside it. A row holds
 more context than lies between minimisers, so rows stay small however long texts are.
 
 Cases: null and short texts have no repeats; repeats within one document, or among
-rows that share its id, don't count; rows with a null id are left out; an empty table
-gives an empty result; documents without repeats give no row.
+rows that share its id, don't count; rows with a null id are left out; equal rows are
+copies of one passage, in whatever order they come; a text of any length is hashed whole,
+in memory proportional to it; an empty table gives an empty result; documents without
+repeats give no row; other columns are ignored.
 """
 
 from __future__ import annotations
