@@ -962,3 +962,24 @@ def _(s, d):
 @query("strip_dot_zero", "SELECT doc_id, n_chars::VARCHAR AS years FROM documents")
 def _(s, d):
     return _docs(s, d).select("doc_id", F.regexp_replace(F.col("n_chars").cast("double").cast("string"), r"\.0$", "").alias("years"))
+
+
+def _keywords(s, d) -> DataFrame:
+    """A row for each keyword of a document: its language and its source, as a list."""
+    listed = cleaning.keyword_list(F.concat_ws("; ", "lang", "source"))
+    return _docs(s, d).select("doc_id", F.explode(F.split(listed, "[|]")).alias("keyword"))
+
+
+_KEYWORDS = "(SELECT doc_id, unnest([lang, source]) AS keyword FROM documents)"
+
+
+@query("explode_keywords", f"SELECT keyword, count(*) AS n FROM {_KEYWORDS} GROUP BY keyword")
+def _(s, d):
+    return _keywords(s, d).groupBy("keyword").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("keyword_attitude_pct", f"SELECT keyword, human, count(*) AS n, 100 * count(*) / sum(count(*)) OVER (PARTITION BY keyword)::DOUBLE AS pct FROM {_KEYWORDS} JOIN {_RATED} USING (doc_id) GROUP BY keyword, human")
+def _(s, d):
+    counts = _keywords(s, d).join(_rated(s, d), "doc_id").groupBy("keyword", "human").agg(F.count(F.lit(1)).alias("n"))
+    totals = counts.groupBy("keyword").agg(F.sum("n").alias("total"))
+    return counts.join(totals, "keyword").select("keyword", "human", "n", (100 * F.col("n") / F.col("total")).alias("pct"))

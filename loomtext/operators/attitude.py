@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cleaning import text_of
 from ..functions.matching import weighted_count
+from ..sources.storage import written
 from .ranks import average_ranks, correlation
 
 
@@ -280,18 +281,30 @@ def specification_summary(scores: DataFrame, specs: Sequence[Spec], source: str,
     wide = scores.agg(*sums)
     profile = scores.groupBy(source, year).agg(*[F.avg(s.name).alias(s.name) for s in specs])
 
-    def rank_correlation(df: DataFrame, name: str) -> float | None:
-        out = df.select(base, name)
-        for c in {base, name}:
-            ranks = average_ranks(df, c).select(F.col(c).alias(f"_v_{c}"), F.col("average_rank").alias(f"_r_{c}"))
-            out = out.join(ranks, F.col(c).eqNullSafe(F.col(f"_v_{c}")))
-        return out.agg(correlation(f"_r_{base}", f"_r_{name}")).first()[0]
+    def ranked(name: str) -> DataFrame:
+        ranks = average_ranks(scores, name).select(F.col(name).alias("_value"), F.col("average_rank").alias(f"_{name}"))
+        return scores.join(ranks, F.col(name).eqNullSafe(F.col("_value"))).drop("_value")
+
+    with_base = written(ranked(base), "ranks")
+
+    def over_rows(name: str) -> float | None:
+        if name == base:
+            return with_base.agg(correlation(f"_{base}", f"_{base}")).first()[0]
+        ranks = average_ranks(with_base, name).select(F.col(name).alias("_value"), "average_rank")
+        return with_base.join(ranks, F.col(name).eqNullSafe(F.col("_value"))).agg(correlation(f"_{base}", "average_rank")).first()[0]
+
+    means = profile.toPandas()[[s.name for s in specs]].rank()  # a row for each source and year
+
+    def over_profile(name: str) -> float | None:
+        x, y = means[base] - means[base].mean(), means[name] - means[name].mean()
+        size = float((x * x).sum() * (y * y).sum()) ** 0.5
+        return float((x * y).sum()) / size if size > 0 else None
 
     row = wide.first().asDict()
     sign = lambda x: None if x is None else (x > 0) - (x < 0)
     gap = {s.name: None if row[f"one_{s.name}"] is None or row[f"other_{s.name}"] is None else row[f"one_{s.name}"] - row[f"other_{s.name}"] for s in specs}
     out = [
-        (s.name, s.group, s.removed_positive, s.removed_negative, s.min_frequency, s.aggregation, rank_correlation(scores, s.name), row[f"change_{s.name}"], rank_correlation(profile, s.name),
+        (s.name, s.group, s.removed_positive, s.removed_negative, s.min_frequency, s.aggregation, over_rows(s.name), row[f"change_{s.name}"], over_profile(s.name),
          row[f"one_{s.name}"], row[f"other_{s.name}"], gap[s.name], sign(row[f"one_{s.name}"]) == sign(row[f"one_{base}"]), sign(gap[s.name]) == sign(gap[base]))
         for s in specs
     ]

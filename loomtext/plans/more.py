@@ -47,16 +47,6 @@ def _(d):
     return f"SELECT source, {d.text(d.gathered('lang'), '|')} AS keywords FROM {d.t('documents')} GROUP BY source"
 
 
-@plan("explode_keywords")
-def _(d):
-    return f"SELECT keyword, count(*) AS n FROM (SELECT {d.each(d.split('lang || chr(59) || source', ';'))} AS keyword FROM {d.t('documents')}) x GROUP BY keyword"
-
-
-@plan("keyword_attitude_pct")
-def _(d):
-    return f"SELECT keyword, quality, n, CAST(100 AS DOUBLE) * n / sum(n) OVER (PARTITION BY keyword) AS pct FROM (SELECT keyword, quality, count(*) AS n FROM (SELECT quality, {d.each(d.split('lang || chr(59) || source', ';'))} AS keyword FROM {d.t('documents')} d JOIN {d.t('labels')} l ON d.doc_id = l.doc_id) x GROUP BY keyword, quality) y"
-
-
 @plan("topic_label_string")
 def _(d):
     top = f"SELECT lang, w, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, w) AS r FROM {d.words()} GROUP BY lang, w"

@@ -231,3 +231,28 @@ def test_places_in_strata(spark, size):
         assert [got[i] for i in own] == [(n, len(own)) for n in range(1, len(own) + 1)]
     parts = sampling.stratified_split(spark.createDataFrame(rows, "id long, g string"), "id", "g", rows_per_range=size).groupBy("g", "part").count().collect()
     assert {(r.g, r["count"]) for r in parts if r.part == "validation"} == {(g, int(sum(x == g for _, x in rows) * 0.2 + 0.5)) for g in (None, "big", "small")}
+
+
+def test_specification_summary(spark):
+    specs = attitude.specifications(["p1"], ["n1"], frequencies=(3,), aggregations=("mean", "median"))
+    names = [s.name for s in specs]
+    assert names == ["baseline", "drop_p1_n1", "median"]
+    rng = random.Random(9)
+    rows = [(i, "en" if i % 2 else "fr", 2020 + i % 3, round(rng.gauss(0.2, 1), 1), rng.gauss(0, 1), 5.0) for i in range(60)]
+    frame = spark.createDataFrame(rows, ["doc_id", "source", "year", *names])
+    got = {r.spec: r for r in attitude.specification_summary(frame, specs, "source", "year", "en", "fr").collect()}
+
+    def rho(a, b):
+        rank = lambda xs: [sum(y < x for y in xs) + (sum(y == x for y in xs) + 1) / 2 for x in xs]
+        return float(np.corrcoef(rank(a), rank(b))[0, 1])
+
+    base, drop = [r[3] for r in rows], [r[4] for r in rows]
+    assert got["drop_p1_n1"].spearman == pytest.approx(rho(base, drop)) and got["baseline"].spearman == pytest.approx(1)
+    assert got["median"].spearman is None and got["median"].profile_spearman is None
+    mean = lambda k, s: float(np.mean([r[k] for r in rows if r[1] == s]))
+    assert got["drop_p1_n1"].mean_absolute_change == pytest.approx(np.mean(np.abs(np.array(base) - drop)))
+    assert got["drop_p1_n1"].gap == pytest.approx(mean(4, "en") - mean(4, "fr")) and got["median"].gap == 0
+    cells = sorted({(r[1], r[2]) for r in rows})
+    profile = [[float(np.mean([r[k] for r in rows if (r[1], r[2]) == c])) for c in cells] for k in (3, 4)]
+    assert got["drop_p1_n1"].profile_spearman == pytest.approx(rho(*profile))
+    assert got["drop_p1_n1"].sign_same == (mean(3, "en") * mean(4, "en") > 0)
