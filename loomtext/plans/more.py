@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .catalogue import NEG, PLANS, POS, YEAR, _hits, _in, plan, simple
+from .catalogue import NEG, POS, YEAR, _in, plan, simple
 
 TANH = "(2 / (1 + exp(-2 * ({0}))) - 1)"
 
