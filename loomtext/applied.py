@@ -802,7 +802,7 @@ def _(s, d):
 
 @query("method_agreement", f"""WITH a AS (SELECT doc_id, (exp(2 * x) - 1) / (exp(2 * x) + 1) / (1 + 0.35::DOUBLE * off) AS a FROM (SELECT doc_id, greatest(-30, least(30, (p - n) / 1.5::DOUBLE)) AS x, off FROM (SELECT doc_id, {_weigh(POSITIVE)} AS p, {_weigh(NEGATIVE)} AS n, {_weigh(dict.fromkeys(OFF, 1.0))} AS off FROM documents))),
     b AS (SELECT doc_id, (p - n) / (p + n + 1) AS b FROM (SELECT doc_id, {_weigh(POSITIVE)} AS p, {_weigh(NEGATIVE)} AS n FROM documents)), c AS (SELECT doc_id, quality - toxic AS c FROM labels),
-    j AS (SELECT doc_id, a::DOUBLE AS a, b::DOUBLE AS b, c::DOUBLE AS c FROM a JOIN b USING (doc_id) JOIN c USING (doc_id)),
+    j AS (SELECT doc_id, round(a::DOUBLE, 9) AS a, round(b::DOUBLE, 9) AS b, c::DOUBLE AS c FROM a JOIN b USING (doc_id) JOIN c USING (doc_id)),
     p AS (SELECT 'a-b' AS pair, a AS x, b AS y FROM j UNION ALL SELECT 'a-c', a, c FROM j UNION ALL SELECT 'b-c', b, c FROM j),
     r AS (SELECT pair, x, y, rank() OVER (PARTITION BY pair ORDER BY x) + (count(*) OVER (PARTITION BY pair, x) - 1) / 2::DOUBLE AS rx, rank() OVER (PARTITION BY pair ORDER BY y) + (count(*) OVER (PARTITION BY pair, y) - 1) / 2::DOUBLE AS ry,
       CASE WHEN x > 0.3 THEN 1 WHEN x < -0.3 THEN -1 ELSE 0 END AS cx, CASE WHEN y > 0.3 THEN 1 WHEN y < -0.3 THEN -1 ELSE 0 END AS cy FROM p),
@@ -812,7 +812,8 @@ def _(s, d):
 def _(s, d):
     p, n = matching.weighted_count(F.col("text"), POSITIVE), matching.weighted_count(F.col("text"), NEGATIVE)
     scores = _docs(s, d).select("doc_id", attitude.dictionary_score("text", POSITIVE, NEGATIVE, OFF)["score"].alias("a"), ((p - n) / (p + n + 1)).alias("b"))
-    rows = storage.written(scores.join(table(s, d, "labels"), "doc_id").select("a", "b", (F.col("quality") - F.col("toxic")).cast("double").alias("c")), "scores")
+    same = [F.round(c, 9).alias(c) for c in ("a", "b")]  # equal scores stay equal, however they are computed
+    rows = storage.written(scores.join(table(s, d, "labels"), "doc_id").select(*same, (F.col("quality") - F.col("toxic")).cast("double").alias("c")), "scores")
     category = lambda c: F.when(F.col(c) > 0.3, 1).when(F.col(c) < -0.3, -1).otherwise(0)
     out = None
     for x, y in (("a", "b"), ("a", "c"), ("b", "c")):
