@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, byte_column, few, materialise
+from .common import alnum_words, byte_column, few, materialise, trim
 
 WIDTH = 10
 #: Bytes of benchmark text whose tables are held at once.
@@ -207,6 +207,7 @@ def clean_documents(docs: DataFrame, bench: DataFrame, width: int = WIDTH, chunk
     def scan(batches):
         for batch in batches:
             yield batch.filter(pa.array([not spans for _, spans, _ in _scanned(tables.value, batch.column(at))], pa.bool_()))
+        trim()
 
     return docs.mapInArrow(scan, docs.schema)
 

@@ -106,6 +106,7 @@ def _examples(texts: list[str], bits: int) -> list[np.ndarray]:
         pairs = with_repeats((rows << bits) | found, bits)
         at = (pairs & (2**bits - 1)).astype(np.int32)
         out += np.split(at, np.searchsorted(pairs >> bits, np.arange(1, j - i)))
+        texts[i:j] = [""] * (j - i)  # not needed any more
     return out
 
 
@@ -114,7 +115,8 @@ def train(sample: DataFrame, bits: int = BITS, **how) -> tuple[np.ndarray, float
 
     def fitted(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["key", "doc_id"])
-        model = fit(zip(_examples(rows.text.tolist(), bits), rows.label.tolist(), strict=True), bits=bits, **how)
+        texts = rows.pop("text").tolist()
+        model = fit(zip(_examples(texts, bits), rows.label.tolist(), strict=True), bits=bits, **how)
         w = model.weights(slice(0, -1))
         at = np.flatnonzero(w)
         trim()
@@ -166,6 +168,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, threshold
         score = prepared()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score(batch.column(1)))], ["doc_id", "score"])
+        trim()
 
     key = docs.schema["doc_id"].dataType.simpleString()
     scored = docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {key}, score double")
@@ -181,5 +184,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, folds: int = 3, threshold: fl
         score = prepared()
         for batch in batches:
             yield batch.filter(pa.array(score(batch.column(at)) < threshold))
+        trim()
 
     return docs.mapInArrow(scan, docs.schema)
