@@ -30,6 +30,8 @@ BITS = 20
 PREFIXES = (4, 5, 6, 7)
 TRAIN_ROWS = 12_000
 THRESHOLD = 0.7
+#: Bytes of text whose features are held at once.
+CHUNK = 1 << 18
 
 
 def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +103,7 @@ def fit(examples: Iterable[tuple[np.ndarray, int]], epochs: int = 4, bits: int =
 def _examples(texts: list[str], bits: int) -> list[np.ndarray]:
     """The features of each text, as parts of larger arrays of four-byte numbers."""
     out: list[np.ndarray] = []
-    for i, j, data, offsets in row_chunks(pa.array(texts, pa.string())):
+    for i, j, data, offsets in row_chunks(pa.array(texts, pa.string()), CHUNK):
         rows, found = features(data, offsets, bits)
         pairs = with_repeats((rows << bits) | found, bits)
         at = (pairs & (2**bits - 1)).astype(np.int32)
@@ -148,7 +150,7 @@ def scorer(docs: DataFrame, labels: DataFrame, folds: int, bits: int, bound: int
 
         def score(texts: pa.Array) -> np.ndarray:
             out = np.full(len(texts), bias)
-            for i, j, data, offsets in row_chunks(texts):
+            for i, j, data, offsets in row_chunks(texts, CHUNK):
                 rows, found = features(data, offsets, bits)
                 kept = useful[found]
                 pairs = with_repeats((rows[kept] << bits) | found[kept], bits)
