@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import duplicate_key, stripped
+from ..sources.storage import written
 
 
 def nulls_last(*columns: str) -> list[Column]:
@@ -43,7 +44,7 @@ def reprints(df: DataFrame, row_id: str, media: str, title: Column, text: Column
     normalised title or text another row of the same outlet has, or one of another outlet
     (the type is same_text where both agree). Blank titles and texts agree with nothing."""
     digest = lambda c: F.md5(F.nullif(duplicate_key(c), F.lit("")))
-    rows = df.select(F.col(row_id), F.col(media).alias("_media"), digest(title).alias("_title"), digest(text).alias("_text"))
+    rows = written(df.select(F.col(row_id), F.col(media).alias("_media"), digest(title).alias("_title"), digest(text).alias("_text")), "digests")  # texts are read once
     for kind in ("_title", "_text"):
         known = rows.where(F.col(kind).isNotNull())
         across = known.where(F.col("_media").isNotNull()).groupBy(kind).agg((F.min("_media") != F.max("_media")).alias(f"{kind}_across"))
