@@ -1,7 +1,7 @@
 """Text cleaning as column expressions, for any text column.
 
 White space and word characters are those of Unicode. Null is an empty text; nothing
-here looks at more than one row. Only entity decoding leaves the JVM.
+here looks at more than one row. Only the decoding of all entities leaves the JVM.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicons
 from .matching import quoted
-from .text import html_unescape
+from .text import html_unescape, named_entities
 
 _URL = r"(?i)(?:https?://|www\.|(?:[A-Za-z0-9-]+\.)+(?:com|cn|net|org|edu|gov|io)/)[A-Za-z0-9._~:/?#\[\]@!$&'()*+,;=%+\-]+"
 _EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
@@ -40,10 +40,12 @@ def stripped(c: Column | str) -> Column:
     return F.regexp_replace(text_of(c), F.lit(r"(?U)^\s+|\s+$"), F.lit(""))
 
 
-def clean_html(c: Column | str) -> Column:
+def clean_html(c: Column | str, entities: Sequence[str] | None = None) -> Column:
     """Entities decoded first, so markup written as entities goes too; then scripts, styles,
-    tags, addresses and spare white space."""
-    bare = without(html_unescape(text_of(c)), r"(?is)<script.*?>.*?</script>", r"(?is)<style.*?>.*?</style>", "<[^>]+>", r"(?U)https?://\S+")
+    tags, addresses and spare white space. All entities are decoded, those without a semicolon
+    too, or only the names given in ``entities`` with one."""
+    plain = html_unescape(text_of(c)) if entities is None else named_entities(text_of(c), entities)
+    bare = without(plain, r"(?is)<script.*?>.*?</script>", r"(?is)<style.*?>.*?</style>", "<[^>]+>", r"(?U)https?://\S+")
     return squeezed(bare)
 
 
