@@ -25,3 +25,8 @@ PAGES = """SELECT i AS page_id, 'http://x.org/' || i AS url, '<html><title>t' ||
 def test_entities_of_clean_html(spark, tmp_path):
     mine, theirs = against_sql(spark, tmp_path, "clean_html", pages=PAGES)
     assert mine == theirs
+
+
+def test_entities_of_extract_article(spark, tmp_path):
+    mine, theirs = against_sql(spark, tmp_path, "extract_article", pages=PAGES)
+    assert mine == theirs
