@@ -30,3 +30,8 @@ def test_entities_of_clean_html(spark, tmp_path):
 def test_entities_of_extract_article(spark, tmp_path):
     mine, theirs = against_sql(spark, tmp_path, "extract_article", pages=PAGES)
     assert mine == theirs
+
+
+def test_entities_of_html_unescape(spark, tmp_path):
+    mine, theirs = against_sql(spark, tmp_path, "html_unescape", pages=PAGES)
+    assert mine == theirs
