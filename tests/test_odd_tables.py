@@ -35,3 +35,15 @@ def test_entities_of_extract_article(spark, tmp_path):
 def test_entities_of_html_unescape(spark, tmp_path):
     mine, theirs = against_sql(spark, tmp_path, "html_unescape", pages=PAGES)
     assert mine == theirs
+
+
+#: One arrival for all of a type, ids from the last to the first, each later one older.
+TIES = "SELECT 1000003 * i AS event_id, TIMESTAMP '2024-01-01' - i * INTERVAL 1 HOUR AS ts, i % 2 AS user_id, 'view' AS event_type, 1.0 AS value, 'p' AS props FROM range(119, -1, -1) r(i)"
+
+
+def of_ties(spark, folder, name):
+    return [r[0] for r in against_sql(spark, folder, name, events=TIES)[0]]
+
+
+def test_ties_of_stratum_quota(spark, tmp_path):
+    assert of_ties(spark, tmp_path, "stratum_quota") == [1000003 * i for i in range(50)]
