@@ -38,8 +38,9 @@ def first_seen(stream: DataFrame, keys: list[str]) -> DataFrame:
     return stream.select(*keys).dropDuplicates(keys)
 
 
-def _ordered(frames: Iterator[pd.DataFrame], by: str) -> pd.DataFrame:
-    return pd.concat(list(frames)).sort_values(by, kind="stable")
+def _ordered(frames: Iterator[pd.DataFrame], by: str, row: str) -> pd.DataFrame:
+    """Equal rows in the order of their ids, however they were dealt out."""
+    return pd.concat(list(frames)).sort_values([by, row], kind="stable")
 
 
 def earlier_rows(stream: DataFrame, key: Column, at: Column, order: Column, row_id: str) -> DataFrame:
@@ -47,7 +48,7 @@ def earlier_rows(stream: DataFrame, key: Column, at: Column, order: Column, row_
     kind = stream.schema[row_id].dataType.simpleString()
 
     def step(_, frames: Iterator[pd.DataFrame], state: GroupState):
-        rows = _ordered(frames, "order")
+        rows = _ordered(frames, "order", "row")
         low, kept = state.get[0] if state.exists else None, []
         for row, ms in zip(rows["row"], rows["ms"], strict=True):
             if low is None or ms < low:
@@ -72,7 +73,7 @@ def accepted_posts(stream: DataFrame, prefix: int, at: Column, order: Column, n:
     kind = stream.schema[row_id].dataType.simpleString()
 
     def step(_, frames: Iterator[pd.DataFrame], state: GroupState):
-        rows = _ordered(frames, "order")
+        rows = _ordered(frames, "order", "row")
         done, keys, lows = state.get if state.exists else (0, [], [])
         seen, out = dict(zip(keys, lows, strict=True)), []
         for row, head, ms in zip(rows["row"], rows["head"], rows["ms"], strict=True):
@@ -95,7 +96,7 @@ def quota(stream: DataFrame, n: int = 50) -> DataFrame:
 
     def step(_, frames: Iterator[pd.DataFrame], state: GroupState):
         done = state.get[0] if state.exists else 0
-        rows = _ordered((f.assign(order=arrival(f["event_id"])).nsmallest(max(0, n - done), "order") for f in frames), "order")[: max(0, n - done)]
+        rows = _ordered((f.assign(order=arrival(f["event_id"])).nsmallest(max(0, n - done), "order") for f in frames), "order", "event_id")[: max(0, n - done)]
         state.update((done + len(rows),))
         yield rows[["event_id", "event_type"]]
 
