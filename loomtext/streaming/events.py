@@ -92,11 +92,11 @@ def accepted_posts(stream: DataFrame, prefix: int, at: Column, order: Column, n:
 
 
 def quota(stream: DataFrame, n: int = 50) -> DataFrame:
-    """The first n events of each type, by arrival."""
+    """The first n events of each type, by arrival, then id."""
 
     def step(_, frames: Iterator[pd.DataFrame], state: GroupState):
         done = state.get[0] if state.exists else 0
-        rows = _ordered((f.assign(order=arrival(f["event_id"])).nsmallest(max(0, n - done), "order") for f in frames), "order", "event_id")[: max(0, n - done)]
+        rows = _ordered((f.assign(order=arrival(f["event_id"])).nsmallest(max(0, n - done), ["order", "event_id"]) for f in frames), "order", "event_id")[: max(0, n - done)]
         state.update((done + len(rows),))
         yield rows[["event_id", "event_type"]]
 

@@ -51,3 +51,7 @@ def test_ties_of_stratum_quota(spark, tmp_path):
 
 def test_ties_of_stream_prefix_earliest(spark, tmp_path):
     assert of_ties(spark, tmp_path, "stream_prefix_earliest") == [1000003 * i for i in range(120)]
+
+
+def test_ties_of_stream_quota(spark, tmp_path):
+    assert of_ties(spark, tmp_path, "stream_quota") == [1000003 * i for i in range(50)]
