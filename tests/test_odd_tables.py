@@ -55,3 +55,16 @@ def test_ties_of_stream_prefix_earliest(spark, tmp_path):
 
 def test_ties_of_stream_quota(spark, tmp_path):
     assert of_ties(spark, tmp_path, "stream_quota") == [1000003 * i for i in range(50)]
+
+
+def test_segments_of_a_large_dictionary():
+    """The longest word that isn't all Han wins at each place, and the time doesn't grow with their number."""
+    from time import process_time
+
+    from loomtext.functions.segment import Segmenter
+
+    words = [f"w{i:05d}" for i in range(30_000)]
+    cutter = Segmenter(dict.fromkeys([*words, "w0000", "研究a", "ing the"], 1), ["mit license"])
+    assert cutter.cut("xw00001w0000z 研究ab mit license permit licensed ing thex") == ["xw00001w0000z", " ", "研究a", "b", " ", "mit license", " ", "permit", " ", "licensed", " ", "ing the", "x"]
+    text, start = " ".join(["zebra", *words[::-3]]), process_time()
+    assert cutter.cut(text)[2::2] == words[::-3] and process_time() - start < 2
