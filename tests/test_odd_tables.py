@@ -68,3 +68,25 @@ def test_segments_of_a_large_dictionary():
     assert cutter.cut("xw00001w0000z 研究ab mit license permit licensed ing thex") == ["xw00001w0000z", " ", "研究a", "b", " ", "mit license", " ", "permit", " ", "licensed", " ", "ing the", "x"]
     text, start = " ".join(["zebra", *words[::-3]]), process_time()
     assert cutter.cut(text)[2::2] == words[::-3] and process_time() - start < 2
+
+
+def test_batch_of_mixtures():
+    """The numbers that documents have one by one, in less than half of the time."""
+    from time import process_time
+
+    import numpy as np
+    import pyarrow as pa
+
+    from loomtext.operators import topics
+
+    rng = np.random.default_rng(4)
+    words = rng.random((12, 400))
+    ids = [rng.choice(400, rng.integers(1, 60), replace=False).tolist() for _ in range(300)]
+    counts = [rng.integers(1, 5, len(i)).tolist() for i in ids]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counts)], ["ids", "counts"])
+    start = process_time()
+    alone = [topics.mixture(np.array(i), np.array(c, float), words, 1 / 12) for i, c in zip(ids, counts, strict=True)]
+    middle = process_time()
+    together = list(topics.mixtures_of(batch, words, 1 / 12))
+    assert process_time() - middle < (middle - start) / 2
+    assert all(i == a.tolist() and np.allclose(g, x[0], rtol=1e-12) and np.allclose(n, x[1], rtol=1e-12) for i, (a, g, n), x in zip(ids, together, alone, strict=True))
