@@ -90,3 +90,16 @@ def test_batch_of_mixtures():
     together = list(topics.mixtures_of(batch, words, 1 / 12))
     assert process_time() - middle < (middle - start) / 2
     assert all(i == a.tolist() and np.allclose(g, x[0], rtol=1e-12) and np.allclose(n, x[1], rtol=1e-12) for i, (a, g, n), x in zip(ids, together, alone, strict=True))
+
+
+def test_counts_of_grams_stay_where_they_lie(spark):
+    from loomtext.operators import attitude
+
+    docs = spark.createDataFrame([(1, "aa bb"), (2, "aa cc")], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = attitude.char_tfidf(docs, "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
