@@ -54,6 +54,83 @@ def test_batch_model_by_a_plain_pass(spark):
     assert sum(r.dominant_documents for r in yearly) == 40 and sum(r.prevalence_pct for r in yearly if r.year == 2020) == pytest.approx(100)
 
 
+def test_special_functions():
+    x = np.array([0.02, 0.5, 1.0, 2.5, 7.0, 100.0, 1e5])
+    assert topics.log_gamma(x) == pytest.approx([math.lgamma(v) for v in x], rel=1e-10, abs=1e-9)
+    step = 1e-4 * x
+    assert topics.trigamma(x) == pytest.approx((topics.digamma(x + step) - topics.digamma(x - step)) / (2 * step), rel=1e-5)
+
+
+def plain_online(docs, slots, steps, vocabulary, k, seed, passes, n):
+    """Hoffman's updates over whole matrices, one document and one word at a time."""
+    lam, alpha, eta, done = np.random.default_rng(seed).gamma(100.0, 0.01, (vocabulary, k)).T, np.full(k, 1 / k), 1 / k, 0
+    share = lambda g: topics.digamma(g) - topics.digamma(np.array(g.sum()))
+
+    def gamma_of(doc, words):
+        gamma, change = np.ones(k), 1.0
+        while change > 1e-3:
+            fresh = alpha + sum(c * (p := np.exp(share(gamma)) * words[:, w]) / p.sum() for w, c in doc.items())
+            change, gamma = np.abs(fresh - gamma).mean(), fresh
+        return gamma
+
+    for _ in range(passes):
+        for at in range(steps):
+            done += 1
+            own = [d for d, s in zip(docs, slots, strict=True) if s // topics.PARTS == at]
+            if not own:
+                continue
+            words, total, shares = np.exp(topics.digamma(lam) - topics.digamma(lam.sum(1, keepdims=True))), np.zeros_like(lam), np.zeros(k)
+            for doc in own:
+                shares += share(gamma := gamma_of(doc, words))
+                for w, c in doc.items():
+                    total[:, w] += c * (p := np.exp(share(gamma)) * words[:, w]) / p.sum()
+            rho = (1024 + done) ** -0.51
+            lam = (1 - rho) * lam + rho * (eta + total * n / math.ceil(n / steps))
+            slope, c, q = len(own) * (shares / len(own) - share(alpha)), len(own) * topics.trigamma(alpha.sum()), -len(own) * topics.trigamma(alpha)
+            alpha = alpha - rho * (slope - (slope / q).sum() / (1 / c + (1 / q).sum())) / q
+    words = np.exp(logs := topics.digamma(lam) - topics.digamma(lam.sum(1, keepdims=True)))
+    lg, bound = math.lgamma, 0.0
+    for doc in docs:
+        e = share(gamma := gamma_of(doc, words))
+        bound += sum(c * math.log(np.exp(e + logs[:, w]).sum()) for w, c in doc.items()) + ((alpha - gamma) * e).sum()
+        bound += sum(lg(g) - lg(a) for g, a in zip(gamma, alpha, strict=True)) + lg(alpha.sum()) - lg(gamma.sum())
+    bound += ((eta - lam) * logs).sum() + sum(lg(x) - lg(eta) for x in lam.flat) + sum(lg(vocabulary * eta) - lg(r) for r in lam.sum(1))
+    return lam, alpha, -bound / sum(sum(d.values()) for d in docs)
+
+
+def test_online_model_by_a_plain_one(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["aa bb cc dd", "ee ff gg", "aa hh"][i % 3].split()) for _ in range(rng.randint(1, 25))) for i in range(60)]
+    df = spark.createDataFrame([*enumerate(texts), (99, ""), (98, "rare")], "doc_id long, text string")
+    words, rows = topics.vectorised(df, 2, 1.0)
+    got = {r.doc_id: {words[i]: c for i, c in zip(r.ids, r.counts, strict=True)} for r in rows.collect()}
+    assert got == {i: {w: t.split().count(w) for w in t.split()} for i, t in enumerate(texts)} | {98: {}}
+    every = " ".join(texts).split()
+    assert words == sorted(set(every), key=lambda w: (-every.count(w), w))
+
+    batches = topics.Minibatches(rows, 8)
+    known = [r for r in rows.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(batches.steps * topics.PARTS))).orderBy("doc_id").collect() if r.ids]
+    docs = [dict(zip(r.ids, r.counts, strict=True)) for r in known]
+    model = topics.OnlineLDA(3, len(words), 5).fit(batches, 3)
+    lam, alpha, perplexity = plain_online(docs, [r.slot for r in known], batches.steps, len(words), 3, 5, 3, 61)
+    assert batches.n == 61 and batches.steps == 8
+    assert model.components == pytest.approx(lam, rel=1e-5) and model.prior == pytest.approx(alpha, rel=1e-5)
+    assert model.log_perplexity(batches) == pytest.approx(perplexity, rel=1e-5)
+    shown = topics.topic_words(words, model, 2).orderBy("topic", "rank").collect()
+    assert [r.weight for r in shown] == pytest.approx(np.sort(lam / lam.sum(1, keepdims=True), axis=1)[:, :-3:-1].reshape(-1), rel=1e-5)
+    assert sum(r.prevalence_pct for r in topics.topic_prevalence(model, rows).collect()) == pytest.approx(100 * 60 / 61)
+
+
+def test_a_step_reads_its_own_documents(spark):
+    """What a step reads and sends doesn't grow with the documents of other steps."""
+    df = spark.createDataFrame([(i, f"w{chr(97 + i % 26)} x{chr(97 + i // 26 % 26)}") for i in range(300)], "doc_id long, text string")
+    _, rows = topics.vectorised(df, 1, 1.0)
+    batches = topics.Minibatches(rows, 10)
+    seen = [batches.run(lambda slot, words, ids, counts: (slot, len(ids)), [s for s in range(at * topics.PARTS, (at + 1) * topics.PARTS) if s in batches.words]) for at in range(batches.steps)]
+    assert sum(n for step in seen for _, n in step) == 300 and max(sum(n for _, n in step) for step in seen) < 30
+    assert {slot // topics.PARTS for slot, _ in seen[7]} == {7}
+
+
 def test_topics_are_compared():
     rng = np.random.default_rng(3)
     a = rng.random((4, 30))
