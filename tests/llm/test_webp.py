@@ -60,6 +60,35 @@ def test_every_choice_of_the_store_is_used():
     assert {"palette", "cache_bits", "predictor", "cross", "subtract", "groups"} <= seen
 
 
+def test_the_choice_does_not_go_by_the_size():
+    """Every kind is met among images of one size, small or large."""
+    rng = np.random.default_rng(11)
+    for rows in (2, 10, 18, 60):
+        seen = set()
+        for _ in range(400):
+            plane = rng.choice(rng.integers(0, 2**32, 40, dtype=np.uint32), (rows, 16))
+            seen |= {k for k, v in webp.chosen(plane).items() if v is not False} or {"plain"}
+            if rows == 60:
+                assert webp.load(webp.store(plane.tobytes()), plane.nbytes) == plane.tobytes()
+        assert seen >= {"palette", "cache_bits", "predictor", "cross", "groups"} and seen & {"subtract", "plain"}
+
+
+@pytest.mark.parametrize("options", [{"cache_bits": 6}, {"cache_bits": 1, "groups": 3}, {"groups": 2}, {"groups": 4}, {"groups": 5}], ids=str)
+def test_the_fast_path_reads_groups_and_caches_as_the_slow_one(options, monkeypatch):
+    rng = np.random.default_rng(12)
+    for _ in range(5):
+        pixels = np.resize(rng.choice(rng.integers(0, 2**32, 50, dtype=np.uint32), rng.integers(70, 900)), (64, 16))
+        groups = (3, rng.permutation(np.arange(16) % options["groups"]).reshape(8, 2)) if "groups" in options else None
+        stored = webp.encode(pixels, cache_bits=options.get("cache_bits", 0), groups=groups)
+        with monkeypatch.context() as m:
+            m.setattr(webp, "_GROUPS", 0)
+            slow = webp.decode(stored)
+        assert np.array_equal(slow, pixels) and np.array_equal(webp.decode(stored), pixels)
+        with monkeypatch.context() as m:
+            m.setattr(webp, "_BLOCK", 64)
+            assert np.array_equal(webp.decode(stored), pixels)
+
+
 class Plain:
     """A file written field by field, with fixed-length codes, by the format alone."""
 
