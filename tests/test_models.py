@@ -121,6 +121,30 @@ def test_online_model_by_a_plain_one(spark):
     assert sum(r.prevalence_pct for r in topics.topic_prevalence(model, rows).collect()) == pytest.approx(100 * 60 / 61)
 
 
+def test_weights_are_found_together(monkeypatch):
+    """As for each document alone, in not much more rounds than the slowest one takes."""
+    rng, calls, digamma = np.random.default_rng(6), [], topics.digamma
+    words = rng.gamma(0.3, 1, (200, 5)) + 1e-4
+    ids = [rng.choice(200, rng.integers(1, 40), replace=False) for _ in range(600)] + [np.arange(200)]
+    counts, prior = [rng.integers(1, 9, len(x)).astype(float) for x in ids], np.full(5, 0.2)
+    monkeypatch.setattr(topics, "digamma", lambda x: calls.append(1) or digamma(x))
+    alone, rounds = [], []
+    for i, c in zip(ids, counts, strict=True):
+        calls.clear()
+        ((_, gamma, places, ratio),) = topics.weights_of([i], [c], words, prior)
+        alone.append((gamma[0], places[0], ratio[0]))
+        rounds.append(len(calls))
+    calls.clear()
+    seen = []
+    for docs, gamma, places, ratio in topics.weights_of(ids, counts, words, prior):
+        for row, d in enumerate(docs):
+            m = len(ids[d])
+            seen.append(d)
+            assert gamma[row] == pytest.approx(alone[d][0], rel=1e-9) and (places[row, :m] == ids[d]).all()
+            assert ratio[row, :m] == pytest.approx(alone[d][2], rel=1e-9) and not ratio[row, m:].any()
+    assert sorted(seen) == list(range(601)) and len(calls) < 4 * max(rounds)
+
+
 def test_a_step_reads_its_own_documents(spark):
     """What a step reads and sends doesn't grow with the documents of other steps."""
     df = spark.createDataFrame([(i, f"w{chr(97 + i % 26)} x{chr(97 + i // 26 % 26)}") for i in range(300)], "doc_id long, text string")
