@@ -155,6 +155,43 @@ def test_a_step_reads_its_own_documents(spark):
     assert {slot // topics.PARTS for slot, _ in seen[7]} == {7}
 
 
+def test_a_grid_takes_a_task_for_a_model(spark, monkeypatch):
+    """Its models are those fitted step by step; its jobs don't grow with the minibatches."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["aa bb cc dd", "ee ff gg", "aa hh"][i % 3].split()) for _ in range(rng.randint(1, 25))) for i in range(90)]
+    df = spark.createDataFrame([*enumerate(texts), (99, "")], "doc_id long, text string")
+    few = topics.Minibatches
+    words, rows = topics.vectorised(df, 2, 1.0)
+    stepped, alone = few(rows, 6), few(rows, 6, tasks=1)
+    assert stepped.steps == alone.steps == 15 and {s // topics.PARTS for s in stepped.words} == set(alone.known) == set(alone.words)
+    model = topics.OnlineLDA(3, len(words), 7).fit(stepped, 2)
+    components, score = topics.fit_in_a_task(alone, 2, 3, len(words), 7)
+    assert components == pytest.approx(model.components, rel=1e-5) and score == pytest.approx(model.log_perplexity(stepped), rel=1e-5)
+    with pytest.raises(ValueError):
+        topics.fit_in_a_task(stepped, 1, 3, len(words))
+
+    monkeypatch.setattr(topics, "Minibatches", lambda rows, **more: few(rows, 6, **more))
+    jobs, before = spark.sparkContext.statusTracker(), set(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    got = {(r.k, r.seed): r for r in topics.fit_grid(df, (2, 3), (7, 8), 3, 7, passes=2, top=2, min_df=2, max_df=1.0).collect()}
+    assert len(set(jobs.getJobIdsForGroup()) - before) < 3 * 2 * 15 / 3
+    assert sorted(got) == [(2, 7), (3, 7), (3, 8)] and got[3, 7].mean_cosine == pytest.approx(1)
+    assert got[3, 7].log_perplexity == pytest.approx(score, rel=1e-9)
+
+
+def test_minibatches_pass_in_order(spark):
+    df = spark.createDataFrame([(i, f"w{chr(97 + i % 26)} x{chr(97 + i // 26 % 26)}") for i in range(60)], "doc_id long, text string")
+    _, rows = topics.vectorised(df, 1, 1.0)
+    batches = topics.Minibatches(rows, 4, tasks=1)
+    look = lambda found: [(slot, len(ids)) for slot, _, ids, _ in found]
+    plain = batches.through(look, 3)
+    assert [slot for slot, _ in plain] == 3 * batches.known and sum(n for _, n in plain) == 180
+    early = batches.through(lambda found: [sum(map(len, found.gi_frame.f_locals["waiting"].values())) for _ in found], 3)
+    assert max(early) == 0
+    held = batches.parts.collect()
+    batches.parts = spark.sparkContext.parallelize([held[3], *held[:3], *reversed(held[4:])], 3)
+    assert batches.through(look, 3) == plain
+
+
 def test_topics_are_compared():
     rng = np.random.default_rng(3)
     a = rng.random((4, 30))
