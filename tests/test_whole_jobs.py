@@ -1,6 +1,7 @@
 """Vocabularies, dictionaries and models that take all there is, not what a bound leaves."""
 
 import __spark_entry__
+from loomtext.operators import topics
 
 
 def test_the_dictionary_of_segments_has_every_word(spark, tmp_path):
@@ -9,3 +10,10 @@ def test_the_dictionary_of_segments_has_every_word(spark, tmp_path):
     text = " ".join(chr(0x4E00 + i) + chr(0x5E00 + j) for i in range(224) for j in range(224))
     spark.createDataFrame([(i, text) for i in range(20)], "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.kept for r in __spark_entry__.queries()["segment_words"](spark, str(tmp_path)).collect()} == {224 * 224}
+
+
+def test_the_vocabulary_of_topics_has_every_word(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [a + b + c + d for a in letters[:15] for b in letters for c in letters for d in letters]
+    docs = spark.createDataFrame([(i, " ".join(words)) for i in range(5)] + [(5, "other")], "doc_id long, text string")
+    assert topics.vectorised(docs)[0] == words and len(words) > 1 << 18
