@@ -17,3 +17,13 @@ def test_the_vocabulary_of_topics_has_every_word(spark):
     words = [a + b + c + d for a in letters[:15] for b in letters for c in letters for d in letters]
     docs = spark.createDataFrame([(i, " ".join(words)) for i in range(5)] + [(5, "other")], "doc_id long, text string")
     assert topics.vectorised(docs)[0] == words and len(words) > 1 << 18
+
+
+def test_the_batch_model_takes_every_word_and_pass(spark, tmp_path, monkeypatch):
+    words = [f"{chr(97 + i // 26 // 26)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}w{chr(97 + j)}" for i in range(26 * 26 * 26) for j in range(2)]
+    rows = [(i, " ".join(words)) for i in range(10)] + [(10 + i, "other") for i in range(11)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    steps, step = [], topics.BatchLDA.step
+    monkeypatch.setattr(topics.BatchLDA, "step", lambda self, rows: steps.append(self.components.shape) or (step(self, rows) if len(steps) < 2 else self.components))
+    out = __spark_entry__.queries()["lda_fit_batch"](spark, str(tmp_path)).collect()
+    assert len(out) == 120 and steps == [(12, len(words))] * 50
