@@ -103,3 +103,11 @@ def test_counts_of_grams_stay_where_they_lie(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_grams_of_odd_texts(spark, tmp_path):
+    """Repeated and missing ids and texts, characters of four bytes, words of one; no row for a text and gram."""
+    docs = """SELECT i AS doc_id, t AS text FROM (VALUES (1, 'Ab  ab c'), (1, 'abab'), (2, NULL), (3, ''), (4, 'ab 😀b 研究生 研究'), (5, '😀b' || repeat(' abc', 300)), (NULL, 'ab q'), (NULL, 'q'), (6, 'q 研究')) v(i, t)"""
+    mine, theirs = against_sql(spark, tmp_path, "char_ngram_tfidf", documents=docs)
+    assert [r[:2] for r in mine] == [r[:2] for r in theirs] and all(abs(a[2] - b[2]) < 1e-9 for a, b in zip(mine, theirs, strict=True))
+    assert "Generate" not in __spark_entry__.queries()["char_ngram_tfidf"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
