@@ -44,20 +44,21 @@ def _ordered(frames: Iterator[pd.DataFrame], by: str, row: str) -> pd.DataFrame:
 
 
 def earlier_rows(stream: DataFrame, key: Column, at: Column, order: Column, row_id: str) -> DataFrame:
-    """The row ids of rows that are the first of their key, or older than all of it that arrived before."""
+    """The row ids of rows that are the first of their key, or older than all of it that arrived before;
+    one without a time is older than none and none is older than it."""
     kind = stream.schema[row_id].dataType.simpleString()
 
     def step(_, frames: Iterator[pd.DataFrame], state: GroupState):
         rows = _ordered(frames, "order", "row")
         low, kept = state.get[0] if state.exists else None, []
-        for row, ms in zip(rows["row"], rows["ms"], strict=True):
-            if low is None or ms < low:
-                low = ms
+        for row, ms, dated in zip(rows["row"], rows["ms"], rows["dated"], strict=True):
+            if low is None or dated and ms < low:
+                low = int(ms) if dated else None
                 kept.append(row)
-        state.update((int(low),))
+        state.update((low,))
         yield pd.DataFrame({row_id: kept})
 
-    rows = stream.select(key.alias("key"), F.col(row_id).alias("row"), at.alias("ms"), order.alias("order"))
+    rows = stream.select(key.alias("key"), F.col(row_id).alias("row"), F.coalesce(at, F.lit(0)).alias("ms"), at.isNotNull().alias("dated"), order.alias("order"))
     return rows.groupBy("key").applyInPandasWithState(step, f"{row_id} {kind}", "low long", "append", GroupStateTimeout.NoTimeout)
 
 
