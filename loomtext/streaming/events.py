@@ -97,11 +97,13 @@ def quota(stream: DataFrame, n: int = 50) -> DataFrame:
 
     def step(_, frames: Iterator[pd.DataFrame], state: GroupState):
         done = state.get[0] if state.exists else 0
-        rows = _ordered((f.assign(order=arrival(f["event_id"])).nsmallest(max(0, n - done), ["order", "event_id"]) for f in frames), "order", "event_id")[: max(0, n - done)]
+        rows = _ordered((f.nsmallest(max(0, n - done), ["order", "event_id"]) for f in frames), "order", "event_id")[: max(0, n - done)]
         state.update((done + len(rows),))
         yield rows[["event_id", "event_type"]]
 
-    return stream.select("event_id", "event_type").groupBy("event_type").applyInPandasWithState(step, "event_id long, event_type string", "n long", "append", GroupStateTimeout.NoTimeout)
+    # The arrival by Spark: pandas' remainders of negative numbers are others than SQL's.
+    rows = stream.select("event_id", "event_type", arrival(F.col("event_id")).alias("order"))
+    return rows.groupBy("event_type").applyInPandasWithState(step, "event_id long, event_type string", "n long", "append", GroupStateTimeout.NoTimeout)
 
 
 def until_older(stream: DataFrame, at: str, bound: Column, sink: Callable[[DataFrame], None]) -> int:

@@ -113,6 +113,13 @@ def test_grams_of_odd_texts(spark, tmp_path):
     assert "Generate" not in __spark_entry__.queries()["char_ngram_tfidf"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
 
 
+def test_quota_of_negative_ids(spark, tmp_path):
+    """Arrivals are those of the SQL, whose remainders have the sign of the id."""
+    events = "SELECT (i - 60) * 7 AS event_id, TIMESTAMP '2024-03-10' AS ts, i % 3 AS user_id, 'view' AS event_type, 1.0 AS value, 'p' AS props FROM range(120) r(i)"
+    mine, theirs = against_sql(spark, tmp_path, "stream_quota", events=events)
+    assert mine == theirs
+
+
 def test_earliest_of_events_without_a_time(spark, tmp_path):
     events = "SELECT i AS event_id, CASE WHEN i < 9 OR i % 5 = 0 THEN NULL ELSE TIMESTAMP '2024-03-10' + (i * 37 % 120) * INTERVAL 10 MINUTE END AS ts, CASE WHEN i % 4 > 0 THEN i % 4 END AS user_id, 'view' AS event_type, 1.0 AS value, 'p' AS props FROM range(240) r(i)"
     mine, theirs = against_sql(spark, tmp_path, "stream_prefix_earliest", events=events)
